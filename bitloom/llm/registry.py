@@ -10,6 +10,7 @@ MODULES = {
     "op4_packing": "packing",
     "op9_near_dedup": "near_dedup",
     "op6_pii": "pii",
+    "op8_warc": "warc",
     "op7_quality_rules": "quality_rules",
 }
 
