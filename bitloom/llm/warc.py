@@ -112,7 +112,7 @@ def _writer(folder: str):
 
         def put():
             name, data = f"{uuid.uuid4().hex}.warc.zst", archive(held)
-            with system.open_output_stream(f"{top}/{name}") as f:
+            with system.open_output_stream(f"{top}/{name}", compression=None) as f:
                 f.write(data)
             n = len(held)
             held.clear()
