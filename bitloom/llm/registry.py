@@ -11,6 +11,7 @@ MODULES = {
     "op9_near_dedup": "near_dedup",
     "op6_pii": "pii",
     "op8_warc": "warc",
+    "op10_ann": "ann",
     "op7_quality_rules": "quality_rules",
 }
 
