@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query -> module of this package that has a function of the query's name (and ORACLE_SQL, where there is SQL).
 MODULES = {
     "op1_mixing": "mixing",
+    "op3_html_text": "html_text",
     "op4_packing": "packing",
     "op9_near_dedup": "near_dedup",
     "op6_pii": "pii",
