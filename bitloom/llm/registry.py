@@ -8,6 +8,8 @@ from importlib import import_module
 MODULES = {
     "op1_mixing": "mixing",
     "op3_html_text": "html_text",
+    "op2_token_counts": "token_counts",
+    "op5_licenses": "licenses",
     "op4_packing": "packing",
     "op9_near_dedup": "near_dedup",
     "op6_pii": "pii",

@@ -23,7 +23,8 @@ class Encoder:
         with open(path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.lengths = np.zeros(max(ranks.values()) + 2, np.int64)
+        self.special = max(ranks.values()) + 1  # the id of <|endoftext|>
+        self.lengths = np.zeros(self.special + 1, np.int64)
         for token, i in ranks.items():
             self.lengths[i] = len(token)
         self._load = lambda: Tokenizer.from_file(path(f"{name}.json"))
@@ -39,8 +40,8 @@ class Encoder:
         text = text or ""
         if "<|endoftext|>" not in text:
             try:
-                return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
-            except (BaseException,) as failure:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except BaseException as failure:  # a panic of the library is no Exception
                 if isinstance(failure, (KeyboardInterrupt, SystemExit, MemoryError)):
                     raise
         return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
