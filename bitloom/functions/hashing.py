@@ -39,6 +39,8 @@ def murmur3(tokens: list[bytes], seed: int = 0) -> np.ndarray:
     """The low 64 bits of each token's hash. Tokens are laid out by their number of 16-byte blocks and mixed together."""
     n = len(tokens)
     out = np.empty(n, np.uint64)
+    if not n:
+        return out
     sizes = np.fromiter(map(len, tokens), np.int64, n)
     width = sizes // 16 + 1  # in blocks, the last one zero-padded
     for w in np.unique(width):

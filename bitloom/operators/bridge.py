@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.consts import EOS, M
-from bitloom.functions.hashing import token_bits
+from bitloom.functions.hashing import murmur3, positions, token_bits
 from bitloom.operators import algebra, sketch
 
 START, END = "_START_", "_END_"
@@ -82,11 +82,29 @@ def spearman(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(run, "double")(a, b)
 
 
+def represented_of(bits: np.ndarray) -> np.ndarray:
+    return np.unique(positions(murmur3([b"reg:%d:tz:%d" % (b >> 5, b & 31) for b in bits])))
+
+
+def fingerprint_of(bits: np.ndarray, times: int = 1) -> np.ndarray:
+    """The 1,024 register counts of a set's 3-grams, the set re-represented so many times before."""
+    for _ in range(times):
+        bits = represented_of(bits)
+    padded = [START.encode(), *(b"%d:%d" % (b >> 5, b & 31) for b in bits), END.encode()]
+    grams = [b"\0".join(padded[i : i + 3]) for i in range(len(padded) - 2)]
+    return np.bincount(np.unique(positions(murmur3(grams))) >> 5, minlength=M).astype(np.int32)
+
+
 def fingerprints(sets: DataFrame, *keys: str, again: bool = False) -> DataFrame:
-    """(keys, vector) of sets (keys, bits), which are re-represented first; again: of the sets re-represented before that."""
-    if again:
-        sets = sets.select(*keys, re_represent(F.col("bits")).alias("bits"))
-    return sets.select(*keys, re_represent(F.col("bits")).alias("bits")).select(*keys, trigram_bits(F.col("bits")).alias("grams")).select(*keys, register_vector("grams").alias("vector"))
+    """(keys, vector) of sets (keys, bits), which are re-represented first; again: of the sets re-represented before that.
+
+    One Arrow function does all steps of a set: its bits are in its row."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint_of(np.asarray(v if v is not None else [], np.int64), 1 + again) for v in values], index=values.index)
+
+    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return sets.select(*keys, F.pandas_udf(run, "array<int>")("bits").alias("vector"))
 
 
 def bridge(source: DataFrame, candidates: DataFrame, k: int, key: str = "key") -> DataFrame:
