@@ -246,7 +246,8 @@ def ngrams_of(tokens: Column, n: int) -> Column:
     if n == 1:
         return tokens
     grams = lambda t: F.transform(
-        F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(t, i, F.lit(n)), EOS)
+        F.when(t.isNull(), F.lit(None)).when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.array_join(F.slice(t, i, F.lit(n)), EOS),
     )
     return F.transform(F.array(tokens), grams)[0]
 

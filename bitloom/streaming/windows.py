@@ -16,6 +16,11 @@ def _bits(events: DataFrame, token: Column, *keep: str) -> DataFrame:
     return events.select(*keep, F.explode(token_bits(F.array(token))).alias("bit"))
 
 
+def _watermarked(rows: DataFrame, ts: str, late: str | None) -> DataFrame:
+    """A watermark needs a time with a zone: one without is read in the session's."""
+    return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if late else rows
+
+
 def _packed(events: DataFrame, window: Column, keys: tuple[str, ...]) -> DataFrame:
     grouped = events.groupBy(window.alias("w"), *keys).agg(F.bitmap_construct_agg("bit").alias("bm"), F.count("*").alias("n_events"))
     return grouped.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "bm", "n_events")
@@ -24,14 +29,14 @@ def _packed(events: DataFrame, window: Column, keys: tuple[str, ...]) -> DataFra
 def tumbling(events: DataFrame, token: Column, size: str, *keys: str, ts: str = "ts", late: str | None = None) -> DataFrame:
     """(start, end, keys, bm, n_events) of windows side by side."""
     rows = _bits(events, token, ts, *keys)
-    rows = rows.withWatermark(ts, late) if late else rows
+    rows = _watermarked(rows, ts, late)
     return _packed(rows, F.window(ts, size), keys)
 
 
 def sliding(events: DataFrame, token: Column, size: str, slide: str, *keys: str, ts: str = "ts", late: str | None = None) -> DataFrame:
     """The same of windows that overlap."""
     rows = _bits(events, token, ts, *keys)
-    rows = rows.withWatermark(ts, late) if late else rows
+    rows = _watermarked(rows, ts, late)
     return _packed(rows, F.window(ts, size, slide), keys)
 
 
@@ -40,7 +45,7 @@ def sessions(events: DataFrame, token: Column, gap: str, *keys: str, ts: str = "
     if not keys:
         raise ValueError("sessions need a key")
     rows = _bits(events, token, ts, *keys)
-    rows = rows.withWatermark(ts, late) if late else rows
+    rows = _watermarked(rows, ts, late)
     return _packed(rows, F.session_window(ts, gap), keys)
 
 
