@@ -1,6 +1,6 @@
 """Quality rules: a table of thresholds, compiled into one projection of built-in functions.
 
-``measured`` adds the ratios, ``verdict`` compiles the table.  No user function, pandas or Arrow code takes part, and
+``measures`` has the ratios, ``verdict`` compiles the table.  No user function, pandas or Arrow code takes part, and
 no row leaves its partition: there is no shuffle.
 
 Defined results: a null, empty or blank text has no words and fails; columns of any name pass through untouched, as
@@ -29,12 +29,13 @@ STOP_WORDS = {
 
 @dataclass(frozen=True)
 class Rule:
-    """The document fails where the measure is below low or above high."""
+    """The document fails where the measure is below low or above high, if it has from_words words or more."""
 
     name: str
     measure: str
     low: float | None = None
     high: float | None = None
+    from_words: int = 0
 
 
 #: The base rules (too short; more than 20 % of the words in repeated windows), then the method's own.
@@ -42,7 +43,7 @@ BASE = (Rule("short", "n_words", low=10), Rule("repeats", "repeat_percent", high
 RULES = (
     Rule("symbols", "symbols_per_word", high=0.25),
     Rule("word_length", "mean_word", low=2, high=18),
-    Rule("stop_words", "stop_ratio", low=0.01),
+    Rule("stop_words", "stop_ratio", low=0.01, from_words=50),
     Rule("same_lines", "dup_line_ratio", high=0.5),
     Rule("shouting", "upper_ratio", high=0.5),
     Rule("letters", "letter_ratio", low=0.4),
@@ -81,88 +82,88 @@ def repeated_words(found: Column) -> Column:
     return F.when(F.size(found) <= WINDOW, F.lit(0)).otherwise(let(let(hashes, window), _covered)).cast("long")
 
 
-def _fresh(df: DataFrame, name: str) -> str:
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
+def measures(text: Column) -> Column:
+    """A struct of counts and ratios of a text. Every part is bound to a lambda's variable and so computed once, wherever
+    the optimizer moves the whole; a projected column would be written out again for each use in a filter."""
+    stops = sorted({w for ws in STOP_WORDS.values() for w in ws})
+    per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
-def measured(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
-    """docs with one more column, a struct of counts and ratios; its name, which no column of docs has."""
-    raw, m = _fresh(docs, "_raw"), _fresh(docs, "_measures")
-    t = F.coalesce(docs[text], F.lit(""))
-    length = F.length(t)
-    without = lambda chars: length - F.length(F.translate(t, chars, ""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
-    df = docs.withColumn(
-        raw,
-        F.struct(
+    def parts(t: Column) -> Column:
+        return F.struct(
             words(t).alias("words"),
-            lines.alias("lines"),
+            F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0).alias("lines"),
             F.length(F.translate(t, WHITE, "")).cast("long").alias("word_chars"),
-            without(SYMBOLS).cast("long").alias("n_symbols"),
+            (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")).alias("upper"),
             F.length(F.regexp_replace(t, r"[^\p{L}]+", "")).alias("letters"),
-        ),
-    )
-    found = F.col(f"{raw}.words")
-    stops = sorted({w for ws in STOP_WORDS.values() for w in ws})
-    n, chars = F.size(found), F.col(f"{raw}.word_chars")
-    per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    n_lines = F.size(F.col(f"{raw}.lines"))
-    dup = n_lines - F.size(F.array_distinct(F.col(f"{raw}.lines")))
-    counts = {
-        "n_words": n.cast("long"),
-        "word_chars": chars,
-        "n_symbols": F.col(f"{raw}.n_symbols"),
-        "n_dup_lines": dup.cast("long"),
-        "n_repeat_words": repeated_words(found),
-        "symbols_per_word": per(F.col(f"{raw}.n_symbols"), n),
-        "mean_word": per(chars, n),
-        "stop_ratio": per(F.size(F.filter(found, lambda w: F.lower(w).isin(stops))), n),
-        "dup_line_ratio": per(dup, n_lines),
-        "stutter_ratio": per(let(found, lambda w: F.size(F.filter(w, lambda x, i: F.coalesce(x == F.get(w, i + 1), F.lit(False))))), n),
-        "upper_ratio": per(F.col(f"{raw}.upper"), F.col(f"{raw}.letters")),
-        "letter_ratio": per(F.col(f"{raw}.letters"), chars),
-    }
-    return df.withColumn(m, F.struct(*(v.alias(k) for k, v in counts.items()))).drop(raw), m
-
-
-def _fails(rule: Rule, m: str) -> Column:
+        )
+
+    def ratios(raw: Column) -> Column:
+        found, lines, chars, symbols = raw["words"], raw["lines"], raw["word_chars"], raw["n_symbols"]
+        n, n_lines = F.size(found), F.size(lines)
+        dup = n_lines - F.size(F.array_distinct(lines))
+        stutter = F.size(F.filter(found, lambda x, i: F.coalesce(x == F.get(found, i + 1), F.lit(False))))
+        counts = {
+            "n_words": n.cast("long"),
+            "word_chars": chars,
+            "n_symbols": symbols,
+            "n_dup_lines": dup.cast("long"),
+            "n_repeat_words": repeated_words(found),
+            "symbols_per_word": per(symbols, n),
+            "mean_word": per(chars, n),
+            "stop_ratio": per(F.size(F.filter(found, lambda w: F.lower(w).isin(stops))), n),
+            "dup_line_ratio": per(dup, n_lines),
+            "stutter_ratio": per(stutter, n),
+            "upper_ratio": per(raw["upper"], raw["letters"]),
+            "letter_ratio": per(raw["letters"], chars),
+        }
+        return F.struct(*(v.alias(k) for k, v in counts.items()))
+
+    return let(let(F.coalesce(text, F.lit("")), parts), ratios)
+
+
+def _fails(rule: Rule, m: Column) -> Column:
     if rule.measure == "repeat_percent":  # in whole numbers, so that the bound itself passes
-        return 100 * F.col(f"{m}.n_repeat_words") > int(rule.high) * F.col(f"{m}.n_words")
-    x, out = F.col(f"{m}.{rule.measure}"), F.lit(False)
+        return 100 * m["n_repeat_words"] > int(rule.high) * m["n_words"]
+    x, out = m[rule.measure], F.lit(False)
     if rule.low is not None:
         out = out | (x < rule.low)
     if rule.high is not None:
         out = out | (x > rule.high)
-    return out
+    return out & (m["n_words"] >= rule.from_words) if rule.from_words else out
 
 
-def compile_rules(rules: tuple[Rule, ...], m: str) -> Column:
-    """True where any rule of the table fails."""
+def compile_rules(rules: tuple[Rule, ...], m: Column) -> Column:
+    """True where any rule of the table fails; m: measures()."""
     out = F.lit(False)
     for rule in rules:
         out = out | _fails(rule, m)
     return out
 
 
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of the counts, base_failed, failed_rule (the first one, null if none fails) and kept."""
+
+    def judged(m: Column) -> Column:
+        first = F.coalesce(*(F.when(_fails(r, m), F.lit(r.name)) for r in (*BASE, *rules)))
+        base = compile_rules(BASE, m)
+        own = {k: m[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+        own |= {"base_failed": base, "failed_rule": first, "kept": ~(base | compile_rules(rules, m))}
+        return F.struct(*(v.alias(k) for k, v in own.items()))
+
+    return let(measures(text), judged)
+
+
 def score(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs' own columns, then the counts, the name of the first failing rule, base_failed and kept."""
-    df, m = measured(docs, text)
-    first = F.coalesce(*(F.when(_fails(r, m), F.lit(r.name)) for r in (*BASE, *rules)))
-    base = compile_rules(BASE, m)
-    new = {k: F.col(f"{m}.{k}") for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-    new |= {"base_failed": base, "failed_rule": first, "kept": ~(base | compile_rules(rules, m))}
-    own = [c for c in docs.columns if c.lower() not in new]
-    return df.select(*own, *(v.alias(k) for k, v in new.items()))
+    """docs' own columns but for those of these names, then the counts, base_failed, failed_rule and kept."""
+    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rule", "kept")
+    own = [docs[c] for c in docs.columns if c.lower() not in new]
+    return docs.select(*own, F.explode(F.array(verdict(docs[text], rules))).alias("verdict_")).select(*(c for c in docs.columns if c.lower() not in new), "verdict_.*")
 
 
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that every rule accepts, with docs' own columns."""
-    df, m = measured(docs, text)
-    return df.filter(~compile_rules((*BASE, *rules), m)).select(*(df[c] for c in docs.columns))
+    return docs.filter(verdict(docs[text], rules)["kept"])
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
