@@ -214,3 +214,15 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) ->
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Contract of this query: shingles of four words."""
     return near_classes(table(spark, sf_dir, "documents"), k=4).withColumnRenamed("id", "doc_id")
+
+
+#: For small tables: all pairs that share a shingle, and what is reachable by links.
+ORACLE_SQL = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+        GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+    r AS (SELECT a AS id, b AS x FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.x),
+    c AS (SELECT id, min(least(id, x)) AS c FROM r GROUP BY id)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON id = doc_id"""

@@ -169,3 +169,38 @@ def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score(docs).drop("text")
+
+
+def _sql(rules: tuple[Rule, ...]) -> str:
+    """The query in DuckDB SQL, the rules' table compiled once more."""
+
+    def fails(rule: Rule) -> str:
+        if rule.measure == "repeat_percent":
+            return f"100 * n_repeat_words > {int(rule.high)} * n_words"
+        parts = [f"{rule.measure} < {rule.low}"] * (rule.low is not None) + [f"{rule.measure} > {rule.high}"] * (rule.high is not None)
+        return f"(({' OR '.join(parts)}) AND n_words >= {rule.from_words})"
+
+    stops = ", ".join(f"'{w}'" for w in sorted({w for ws in STOP_WORDS.values() for w in ws}))
+    white = r"[\x20\x09-\x0D]"
+    named = "CASE " + " ".join(f"WHEN {fails(r)} THEN '{r.name}'" for r in (*BASE, *rules)) + " END"
+    base = " OR ".join(fails(r) for r in BASE)
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, list_filter(regexp_split_to_array(t, '{white}+'), lambda x: x <> '') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+    g AS (SELECT r, unnest(list_transform(range(1, len(w) - 3), lambda i: {{'i': i, 'g': array_to_string(w[i:i + 4], ' ')}}), recursive := true) FROM w WHERE len(w) > 5),
+    s AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+    c AS (SELECT r, sum(least(5, coalesce(nx - i, 5)))::BIGINT AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nx FROM s) GROUP BY r),
+    m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '{white}', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(ls) AS nl,
+        len(list_filter(w, lambda x: lower(x) IN ({stops}))) AS n_stop, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_stutter,
+        length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS up, length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS le FROM w LEFT JOIN c USING (r)),
+    q AS (SELECT *, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbols_per_word, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word,
+        CASE WHEN n_words > 0 THEN n_stop / n_words ELSE 0 END AS stop_ratio, CASE WHEN nl > 0 THEN n_dup_lines / nl ELSE 0 END AS dup_line_ratio,
+        CASE WHEN n_words > 0 THEN n_stutter / n_words ELSE 0 END AS stutter_ratio, CASE WHEN le > 0 THEN up / le ELSE 0 END AS upper_ratio,
+        CASE WHEN word_chars > 0 THEN le / word_chars ELSE 0 END AS letter_ratio FROM m)
+    SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words,
+        {base} AS base_failed, {named} AS failed_rule, ({named}) IS NULL AS kept FROM q"""
+
+
+ORACLE_SQL = _sql(RULES)

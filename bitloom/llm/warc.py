@@ -192,3 +192,14 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     return read(write(table(spark, sf_dir, "pages"), new_path(spark, "warc")), payloads=False).drop("payload")
+
+
+def _base32_sql(hexadecimal: str) -> str:
+    digits = " || ".join(f"to_base(('0x' || substr({hexadecimal}, {1 + 10 * k}, 10))::BIGINT, 32, 8)" for k in range(4))
+    return f"translate({digits}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
+
+
+ORACLE_SQL = f"""
+    WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+    SELECT page_id, regexp_replace(coalesce(url, ''), '\\s+', '', 'g') AS url, strlen(html) AS payload_bytes, {_base32_sql("sha1(html)")} AS payload_digest,
+        CASE WHEN last IS NULL OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to FROM p"""
