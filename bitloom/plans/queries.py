@@ -32,7 +32,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-WORDS = DEFAULT.tokens("text")
+def words():
+    """The words of column text (a column needs a session, so none is made at import)."""
+    return DEFAULT.tokens("text")
 
 
 def docs(spark, d) -> DataFrame:
@@ -41,15 +43,15 @@ def docs(spark, d) -> DataFrame:
 
 def sets(spark, d, *keys: str) -> DataFrame:
     """(keys, bm) of the documents' words."""
-    return sketch.build(docs(spark, d), WORDS, *keys)
+    return sketch.build(docs(spark, d), words(), *keys)
 
 
 def rows(spark, d, *keys: str) -> DataFrame:
-    return sketch.atoms(docs(spark, d), WORDS, *keys)
+    return sketch.atoms(docs(spark, d), words(), *keys)
 
 
 def index(spark, d, *keys: str, seeds=(0,)) -> DataFrame:
-    return lut.build(lut.occurrences(docs(spark, d), WORDS, *keys), *keys, seeds=seeds)
+    return lut.build(lut.occurrences(docs(spark, d), words(), *keys), *keys, seeds=seeds)
 
 
 # --- texts and hashes ----------------------------------------------------------------------------------------------
@@ -57,7 +59,7 @@ def index(spark, d, *keys: str, seeds=(0,)) -> DataFrame:
 
 @query(O.with_(O.occ()) + "SELECT lang, count(*) AS n_tokens, count(DISTINCT token) AS n_distinct FROM occ GROUP BY lang")
 def tokens_by_lang(spark, d):
-    return lut.occurrences(docs(spark, d), WORDS, "lang").groupBy("lang").agg(F.count("*").alias("n_tokens"), F.count_distinct("token").alias("n_distinct"))
+    return lut.occurrences(docs(spark, d), words(), "lang").groupBy("lang").agg(F.count("*").alias("n_tokens"), F.count_distinct("token").alias("n_distinct"))
 
 
 def _grams_sql(table: str, key: str, words: str, sizes: range) -> str:
@@ -78,7 +80,7 @@ def _gram_counts(df: DataFrame, tokens, key: str, sizes: range) -> DataFrame:
 
 @query(_grams_sql("documents", "lang", _LIST, range(1, 4)))
 def ngram_counts(spark, d):
-    return _gram_counts(docs(spark, d), WORDS, "lang", range(1, 4))
+    return _gram_counts(docs(spark, d), words(), "lang", range(1, 4))
 
 
 @query(_grams_sql("conversations", "role", f"CASE WHEN len({_LIST}) > 0 THEN list_concat(['<s>'], list_concat({_LIST}, ['</s>'])) ELSE [] END", range(2, 3)))
@@ -88,13 +90,13 @@ def padded_bigrams(spark, d):
 
 @query(O.with_(O.occ(keys=""), "t AS (SELECT DISTINCT token FROM occ)", hashed("t", 0, "hs")) + "SELECT token, CASE WHEN h >= 9223372036854775808::UHUGEINT THEN (h - 9223372036854775808::UHUGEINT)::BIGINT - 9223372036854775807 - 1 ELSE h::BIGINT END AS hash FROM hs")
 def token_hashes(spark, d):
-    distinct = lut.occurrences(docs(spark, d), WORDS).distinct()
+    distinct = lut.occurrences(docs(spark, d), words()).distinct()
     return distinct.select("token", hash64("token").alias("hash"))
 
 
 def _token_bits(seed: int):
     def run(spark, d):
-        return lut.occurrences(docs(spark, d), WORDS).distinct().select("token", bit_of_hash(hash64("token", seed)).cast("long").alias("bit"))
+        return lut.occurrences(docs(spark, d), words()).distinct().select("token", bit_of_hash(hash64("token", seed)).cast("long").alias("bit"))
 
     return run
 
@@ -145,7 +147,7 @@ def nonzero_registers(spark, d):
 
 @query(O.with_(O.atoms("doc_id")) + "SELECT doc_id, CASE WHEN n <= 4096 THEN 16 + 2 * n ELSE 8208 END AS bytes FROM (SELECT doc_id, count(*) AS n FROM at_ GROUP BY ALL)")
 def memory_usage(spark, d):
-    one = docs(spark, d).select("doc_id", F.size(token_bits(WORDS)).alias("n")).filter("n > 0")
+    one = docs(spark, d).select("doc_id", F.size(token_bits(words())).alias("n")).filter("n > 0")
     return one.select("doc_id", sketch.memory_usage(F.col("n")).alias("bytes"))
 
 
@@ -220,7 +222,7 @@ _CONTAIN = f"""WITH RECURSIVE {O.occ(keys="doc_id")}, o2 AS ({O.tokens("benchmar
 @query(_CONTAIN + " SELECT item_id, doc_id FROM ni JOIN ns USING (item_id) WHERE n = size")
 def subset_pairs(spark, d):
     """Documents whose sketch holds all bits of a benchmark item's: the items are the stated queries, joined on a bit."""
-    items = sketch.atoms(read(spark, d, "benchmark"), WORDS, "item_id")
+    items = sketch.atoms(read(spark, d, "benchmark"), words(), "item_id")
     size = items.groupBy("item_id").agg(F.count("*").alias("size"))
     shared = items.join(rows(spark, d, "doc_id"), "bit").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
     return shared.join(size, "item_id").filter("n = size").select("item_id", "doc_id")
@@ -231,7 +233,7 @@ def subset_pairs(spark, d):
 
 @query(f"SELECT doc_id, 'h:' || sha1(array_to_string(list_sort(list_distinct({_LIST})), chr(0))) AS h, 'o:' || sha1(array_to_string(list_sort(list_distinct({_LIST})), chr(0))) AS o FROM documents")
 def token_keys(spark, d):
-    return docs(spark, d).select("doc_id", K.content_key(WORDS).alias("h"), K.original_key(WORDS).alias("o"))
+    return docs(spark, d).select("doc_id", K.content_key(words()).alias("h"), K.original_key(words()).alias("o"))
 
 
 _LE2 = "substr(printf('%04X', {0}), 3, 2) || substr(printf('%04X', {0}), 1, 2)"
@@ -270,7 +272,7 @@ def merkle_leaves(spark, d):
     UNION ALL SELECT item_id, list_transform(range(0, (len(l) + 1) // 2), lambda i: sha1(chr(1) || l[2 * i + 1] || coalesce(l[2 * i + 2], l[2 * i + 1]))) FROM lv WHERE len(l) > 1)""")
     + "SELECT item_id, l[1] AS root FROM lv WHERE len(l) = 1")
 def merkle_root(spark, d):
-    return lut.atom_tree(sketch.atoms(read(spark, d, "benchmark"), WORDS, "item_id"), "item_id").select("item_id", "root")
+    return lut.atom_tree(sketch.atoms(read(spark, d, "benchmark"), words(), "item_id"), "item_id").select("item_id", "root")
 
 
 # --- reverse index, restoration, ranks -----------------------------------------------------------------------------
@@ -278,7 +280,7 @@ def merkle_root(spark, d):
 
 @query(O.with_(O.occ(keys="")) + "SELECT token, count(*) AS n FROM occ GROUP BY token")
 def ingest_tf(spark, d):
-    return lut.tf_table(lut.occurrences(docs(spark, d), WORDS))
+    return lut.tf_table(lut.occurrences(docs(spark, d), words()))
 
 
 @query(O.with_(O.occ(keys=""), O.bits(seeds=(0, 1, 2))) + "SELECT seed::INTEGER AS seed, bit, count(*) AS n_tokens, max(token) AS last FROM hb GROUP BY ALL")
@@ -310,7 +312,7 @@ _ALL_SEEDS = (O.occ(), O.bits(seeds=(0, 1, 2)), "tf AS (SELECT token, count(*) A
     + "SELECT DISTINCT token FROM (SELECT bit, arg_max(token, (n, token)) AS token FROM cand JOIN tf USING (token) GROUP BY bit)")
 def materialize_tf(spark, d):
     i = index(spark, d, "lang", seeds=(0, 1, 2))
-    tf = lut.tf_table(lut.occurrences(docs(spark, d), WORDS))
+    tf = lut.tf_table(lut.occurrences(docs(spark, d), words()))
     return lut.materialize(i.filter("lang = 'fr'").select("seed", "bit").distinct(), i.select("seed", "bit", "token").distinct(), tf)
 
 
@@ -326,7 +328,7 @@ _RANKED = (O.occ(), O.bits(), "tf AS (SELECT token, count(*) AS n FROM occ GROUP
 def _ranks(how: str):
     def bit_rank(spark, d):
         i = index(spark, d)
-        return lut.bit_rank(i, lut.tf_table(lut.occurrences(docs(spark, d), WORDS)), how)
+        return lut.bit_rank(i, lut.tf_table(lut.occurrences(docs(spark, d), words())), how)
 
     wide = lambda df: df.withColumn("bit", F.col("bit").cast("long"))
     query(O.with_(*_RANKED) + f"SELECT bit, {how}(n)::BIGINT AS rank FROM hb JOIN tf USING (token) GROUP BY bit", f"bit_rank_{how}")(lambda s, d: wide(bit_rank(s, d)))
@@ -347,13 +349,13 @@ for _how in ("sum", "max", "min"):
 
 @query(O.with_(O.occ()) + "SELECT token, max(n) AS n FROM (SELECT lang, token, count(*) AS n FROM occ GROUP BY ALL) GROUP BY token")
 def tf_merge_max(spark, d):
-    per = lut.tf_table(lut.occurrences(docs(spark, d), WORDS, "lang"), "lang")
+    per = lut.tf_table(lut.occurrences(docs(spark, d), words(), "lang"), "lang")
     return lut.tf_merge(per.select("token", "n"))
 
 
 @query(O.with_(O.atoms("doc_id")) + "SELECT bit, count(*)::DOUBLE AS tf FROM at_ GROUP BY bit")
 def tf_bits(spark, d):
-    return lut.tf_bits(docs(spark, d).select(F.explode(token_bits(WORDS)).alias("bit"))).withColumn("bit", F.col("bit").cast("long"))
+    return lut.tf_bits(docs(spark, d).select(F.explode(token_bits(words())).alias("bit"))).withColumn("bit", F.col("bit").cast("long"))
 
 
 # --- contexts ------------------------------------------------------------------------------------------------------
@@ -490,7 +492,7 @@ _ASKED = f"""WITH RECURSIVE {O.occ(keys="source")}, o2 AS (SELECT '+' AS source,
 
 
 def _request(spark, d) -> DataFrame:
-    return sketch.build(read(spark, d, "benchmark"), WORDS)
+    return sketch.build(read(spark, d, "benchmark"), words())
 
 
 @query(_ASKED + " SELECT a AS source, tau FROM m WHERE tau > 0 ORDER BY tau DESC, source LIMIT 5")
@@ -511,7 +513,7 @@ def coverage(spark, d):
 
 def _store(spark, d) -> tuple[DataFrame, DataFrame]:
     """Contents (key of each document's words) and pins (those of the even ids)."""
-    keyed = docs(spark, d).select("doc_id", K.content_key(WORDS).alias("key"))
+    keyed = docs(spark, d).select("doc_id", K.content_key(words()).alias("key"))
     return keyed.select("key").distinct(), keyed.filter("doc_id % 2 = 0").select("key").distinct()
 
 
@@ -534,7 +536,7 @@ def gc_survivors(spark, d):
 
 @query(f"WITH {_KEYS}, p AS (SELECT DISTINCT key FROM ks WHERE doc_id % 3 <> 0), c AS (SELECT DISTINCT key FROM ks WHERE doc_id % 3 <> 1) SELECT key, CASE WHEN key NOT IN (SELECT key FROM p) THEN 'N' WHEN key NOT IN (SELECT key FROM c) THEN 'D' ELSE 'R' END AS part FROM (SELECT key FROM p UNION SELECT key FROM c)")
 def key_drn(spark, d):
-    keyed = docs(spark, d).select("doc_id", K.content_key(WORDS).alias("bit"))
+    keyed = docs(spark, d).select("doc_id", K.content_key(words()).alias("bit"))
     p, c = keyed.filter("doc_id % 3 <> 0").select("bit").distinct(), keyed.filter("doc_id % 3 <> 1").select("bit").distinct()
     return context.evolve(p, c).withColumnRenamed("bit", "key")
 
@@ -542,5 +544,5 @@ def key_drn(spark, d):
 @query(f"SELECT doc_id, len({_LIST}) AS n_words, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS token_count FROM documents WHERE len({_LIST}) > 0")
 def ingest_records(spark, d):
     """What an ingest run records of each text: its words, and the parts that white space divides."""
-    out = docs(spark, d).select("doc_id", F.size(WORDS).cast("long").alias("n_words"), F.regexp_count("text", F.lit(r"[^ \t\n\r\f\x0B]+")).cast("long").alias("token_count"))
+    out = docs(spark, d).select("doc_id", F.size(words()).cast("long").alias("n_words"), F.regexp_count("text", F.lit(r"[^ \t\n\r\f\x0B]+")).cast("long").alias("token_count"))
     return out.filter("n_words > 0")

@@ -9,7 +9,7 @@ from bitloom.operators import algebra, lut, search, sketch, temporal
 from bitloom.plans import oracle as O
 from bitloom.plans.oracle_hash import bit as sql_bit
 from bitloom.plans.oracle_hash import hashed
-from bitloom.plans.queries import _CONTAIN, _DAILY, _LIST, WORDS, _daily, _pairs, docs, query, read, rows, sets
+from bitloom.plans.queries import _CONTAIN, _DAILY, _LIST, _daily, _pairs, docs, query, read, rows, sets, words
 from bitloom.streaming import windows
 
 _SIZES = (1, 3, 9, 27)
@@ -62,7 +62,7 @@ def rlink_weights(spark, d):
 
 @query(_CONTAIN + " SELECT item_id, doc_id, n AS shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rank FROM ni) WHERE rank <= 3")
 def precedents(spark, d):
-    items = sketch.atoms(read(spark, d, "benchmark"), WORDS, "item_id")
+    items = sketch.atoms(read(spark, d, "benchmark"), words(), "item_id")
     return search.precedents(items, rows(spark, d, "doc_id"), "item_id", "doc_id", 3).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -73,14 +73,14 @@ _TAU = f""", nc AS ({O.card("SELECT item_id, doc_id, bit % 32 AS tz, count(*) AS
 
 @query(_CONTAIN + _TAU + " SELECT item_id, doc_id, shared, tau, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM ta WHERE tau > 0.5) WHERE rank <= 3")
 def two_phase_search(spark, d):
-    items = sketch.atoms(read(spark, d, "benchmark"), WORDS, "item_id")
+    items = sketch.atoms(read(spark, d, "benchmark"), words(), "item_id")
     return search.two_phase(items, rows(spark, d, "doc_id"), "item_id", "doc_id").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(_CONTAIN + _TAU + " SELECT item_id, doc_id, shared, tau FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY tau DESC, doc_id) AS rank FROM ta) WHERE rank = 1")
 def contamination(spark, d):
     """For each benchmark item the document that holds most of it."""
-    items = sketch.atoms(read(spark, d, "benchmark"), WORDS, "item_id")
+    items = sketch.atoms(read(spark, d, "benchmark"), words(), "item_id")
     best = search.top(search.inclusion(items, rows(spark, d, "doc_id"), "item_id", "doc_id"), "item_id", "doc_id", "tau", 1)
     return best.select("item_id", "doc_id", "shared", "tau")
 
@@ -90,13 +90,13 @@ _TF = "tb AS (SELECT bit, count(*)::DOUBLE AS tf FROM (SELECT DISTINCT doc_id, b
 
 @query(O.with_(O.occ(keys="doc_id, lang"), O.bits(), "at_ AS (SELECT DISTINCT lang, bit FROM occ JOIN hb USING (token))", _TF) + "SELECT lang, sum(tf) AS rank, sum(tf) / count(*) AS mean_rank FROM at_ JOIN tb USING (bit) GROUP BY lang")
 def rank_vector(spark, d):
-    tf = lut.tf_bits(docs(spark, d).select(F.explode(token_bits(WORDS)).alias("bit")))
+    tf = lut.tf_bits(docs(spark, d).select(F.explode(token_bits(words())).alias("bit")))
     return temporal.rank_vector(rows(spark, d, "lang"), tf, "lang")
 
 
 @query(O.with_(O.occ(keys="doc_id"), O.bits(), _TF) + "SELECT bit FROM tb WHERE tf > 100")
 def observable_mask(spark, d):
-    tf = lut.tf_bits(docs(spark, d).select(F.explode(token_bits(WORDS)).alias("bit")))
+    tf = lut.tf_bits(docs(spark, d).select(F.explode(token_bits(words())).alias("bit")))
     return temporal.observable(tf.withColumnRenamed("tf", "rank"), 100).select(F.col("bit").cast("long").alias("bit"))
 
 
@@ -127,14 +127,14 @@ def _level_sql(n: int) -> str:
 
 @query(O.with_(f"wl AS (SELECT role AS lang, {_LIST} AS w FROM conversations)", _level_sql(1), _level_sql(2)) + "SELECT lang AS role, level, popcount FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2)")
 def globals_by_level(spark, d):
-    out = search.levels(read(spark, d, "conversations"), WORDS, 2, "role")
+    out = search.levels(read(spark, d, "conversations"), words(), 2, "role")
     return out.select("role", "level", sketch.popcount("bm").alias("popcount"))
 
 
 @query(f"WITH k AS (SELECT DISTINCT unnest({_LIST}) AS token FROM documents WHERE lang = 'en'), i AS (SELECT DISTINCT item_id, unnest({_LIST}) AS token FROM benchmark) SELECT item_id, count(*) AS tokens, count(*) FILTER (token NOT IN (SELECT token FROM k)) AS unknown FROM i GROUP BY item_id")
 def exact_gate(spark, d):
-    known = lut.occurrences(docs(spark, d).filter("lang = 'en'"), WORDS)
-    return search.hallucination(lut.occurrences(read(spark, d, "benchmark"), WORDS, "item_id"), known, "item_id")
+    known = lut.occurrences(docs(spark, d).filter("lang = 'en'"), words())
+    return search.hallucination(lut.occurrences(read(spark, d, "benchmark"), words(), "item_id"), known, "item_id")
 
 
 @query("""WITH s AS (SELECT q.vec_id AS query, v.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM (FROM embeddings WHERE vec_id < 5) q, embeddings v),
@@ -151,18 +151,21 @@ def complement(spark, d):
 
 
 _TYPES = ("occ AS (SELECT *, user_id::VARCHAR AS token FROM events)", O.bits())
-_USER = F.col("user_id").cast("string")
+
+
+def _user():
+    return F.col("user_id").cast("string")
 
 
 @query(O.with_(*_TYPES) + "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(DISTINCT bit) AS popcount, count(*) AS n_events FROM occ JOIN hb USING (token) GROUP BY ALL")
 def tumbling_sketch(spark, d):
-    out = windows.tumbling(read(spark, d, "events"), _USER, "1 day", "event_type")
+    out = windows.tumbling(read(spark, d, "events"), _user(), "1 day", "event_type")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", sketch.popcount("bm").alias("popcount"), "n_events")
 
 
 @query(O.with_(*_TYPES) + "SELECT time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY * k AS start, count(DISTINCT bit) AS popcount, count(*) AS n_events FROM occ JOIN hb USING (token), range(2) r(k) GROUP BY ALL")
 def sliding_sketch(spark, d):
-    out = windows.sliding(read(spark, d, "events"), _USER, "2 days", "1 day")
+    out = windows.sliding(read(spark, d, "events"), _user(), "2 days", "1 day")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), sketch.popcount("bm").alias("popcount"), "n_events")
 
 
