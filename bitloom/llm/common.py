@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitloom.plans.ship import ship  # noqa: F401
+
 #: A word is a run of anything but these six characters: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -60,20 +60,3 @@ def words(text: Column) -> Column:
 def n_words(text: Column) -> Column:
     """The number of words, without making them: 0 for null."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application: they need no copy of their own on their path."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    _shipped.add(app)
-    top = Path(__file__).resolve().parents[1]
-    made = f"{tempfile.mkdtemp(prefix='bitloom-')}/{top.name}.zip"
-    with zipfile.ZipFile(made, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    spark.sparkContext.addPyFile(made)

@@ -22,7 +22,7 @@ from bitloom.llm.common import n_words, table, words, written
 
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
 #: Rows of a source in one slice, about.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 4_000
 SEED = 17
 
 
@@ -56,10 +56,10 @@ def queue(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     plain = written(plain, "sizes")
     goals = targets(plain.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), **how)
     joined = plain.join(goals, plain["source"].eqNullSafe(goals["source"])).drop(goals["source"])
-    # a slice holds the rows whose key, as a fraction of all keys, falls into it
-    key = F.xxhash64("id", "content", F.lit(seed))
-    rows = joined.withColumn("order", F.shiftrightunsigned(key, 1))
-    rows = rows.withColumn("slice", F.floor(F.col("order") / float(2**63) * F.col("slices")))
+    # shuffled by 60 bits of a digest, which any engine has; a slice holds the rows whose key, as a fraction of all keys, falls into it
+    digest = F.sha1(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))).cast("binary"))
+    rows = joined.withColumn("order", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+    rows = rows.withColumn("slice", F.floor(F.col("order") / float(2**60) * F.col("slices")))
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("n"))
     starts = sums.withColumn("base", F.sum("n").over(W.partitionBy("source").orderBy("slice")) - F.col("n")).drop("n")
     inner = W.partitionBy("source", "slice").orderBy("order", "id", "size").rowsBetween(W.unboundedPreceding, 0)
@@ -111,3 +111,15 @@ def op1_mixing(spark, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce(taken["taken"], F.lit(0)).cast("long").alias("taken")
     )
     return out
+
+
+ORACLE_SQL = r"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+    v AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / w AS lv FROM s),
+    x AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY lv, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(w) OVER (ORDER BY lv, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS water FROM v),
+    y AS (SELECT source, source_size, coalesce(least(cap, w * (SELECT arg_min(water, (lv, water)) FROM x WHERE lv > water)), cap) AS target FROM x),
+    q AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY substr(sha1(doc_id || ':17'), 1, 15), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS first
+        FROM d JOIN y ON d.source IS NOT DISTINCT FROM y.source)
+    SELECT doc_id, size::BIGINT AS size, source_size, target, (greatest(0, least(size, floor(target + 1e-6)::BIGINT - first)) + greatest(0, least(size, floor(target + 1e-6)::BIGINT - first - source_size)))::BIGINT AS taken FROM q"""
