@@ -134,3 +134,39 @@ def coverage(responses: DataFrame, request: DataFrame) -> DataFrame:
     both = merged.join(F.broadcast(request.limit(1).select(sketch.card("bm").alias("asked"))))
     share = F.when(F.col("asked") == 0, F.lit(1.0)).otherwise(F.try_divide(sketch.card("bm"), F.col("asked")))
     return both.select("responses", share.alias("coverage"))
+
+
+class Router:
+    """A table of nodes (node, bm, set_count) under the names of a registry; every change gives a new table."""
+
+    def __init__(self, nodes: DataFrame):
+        self.nodes = nodes
+
+    def add_node(self, node: DataFrame) -> Router:
+        """Adds a row, or puts it in the place of the one of its name."""
+        return Router(self.nodes.join(node.select("node"), "node", "left_anti").unionByName(node))
+
+    update_node = add_node
+
+    def remove_node(self, name: str) -> Router:
+        return Router(self.nodes.filter(F.col("node") != name))
+
+    def add_set(self, name: str, bm: DataFrame) -> Router:
+        """ORs one sketch (bm) into a node and counts it."""
+        one = bm.limit(1).select(F.col("bm").alias("more"))
+        named = self.nodes.filter(F.col("node") == name).join(F.broadcast(one))
+        return self.add_node(named.select("node", sketch.combined("bm", "more", "union").alias("bm"), (F.col("set_count") + 1).alias("set_count")))
+
+    def remove_set(self, name: str) -> Router:
+        """Counts one sketch less; its bits stay until the node is rebuilt from its sets."""
+        less = F.when(F.col("node") == name, F.greatest(F.col("set_count") - 1, F.lit(0))).otherwise(F.col("set_count"))
+        return Router(self.nodes.withColumn("set_count", less.cast("long")))
+
+    def rank(self, request: DataFrame, k: int) -> DataFrame:
+        return route(self.nodes, request, k)
+
+    def __len__(self) -> int:
+        return self.nodes.count()
+
+    def is_empty(self) -> bool:
+        return self.nodes.isEmpty()

@@ -90,13 +90,14 @@ def complement(bits: DataFrame) -> DataFrame:
 
 def minimal_cover(sets: DataFrame, target: DataFrame, key: str, rounds: int) -> list[str]:
     """Keys chosen greedily, each for the most target bits that are still uncovered, ties by key; ``rounds`` at most."""
-    left, chosen = target.select("bit").distinct(), []
+    sets, left, chosen = sets.select(key, "bit").persist(), target.select("bit").distinct(), []
     for _ in range(rounds):
         best = sets.join(left, "bit").groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).first()
         if best is None:
             break
         chosen.append(best[key])
         left = left.join(sets.filter(F.col(key) == best[key]).select("bit"), "bit", "left_anti")
+    sets.unpersist()
     return chosen
 
 

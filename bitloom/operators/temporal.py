@@ -88,3 +88,10 @@ def cooccurrence(layers: DataFrame, bits: DataFrame) -> DataFrame:
     own = layers.join(bits.select("bit"), "bit", "left_semi").select("layer", "bit").distinct()
     pairs = own.select("layer", F.col("bit").alias("a")).join(own.select("layer", F.col("bit").alias("b")), "layer").filter("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def channel_inclusion(measured: DataFrame, *keys: str) -> DataFrame:
+    """(keys, tau, rho) over channels of disjoint n-gram sketches, of measured rows (keys, .., card_b, tau, rho): each channel
+    weighs as much as its part of B's estimate."""
+    total = measured.groupBy(*keys).agg(*(F.try_divide(F.sum(F.col("card_b") * F.col(c)), F.sum("card_b")).alias(c) for c in ("tau", "rho")))
+    return total.select(*keys, F.coalesce("tau", F.lit(1.0)).alias("tau"), F.coalesce("rho", F.lit(0.0)).alias("rho"))

@@ -183,6 +183,9 @@ def test_routing_and_coverage(spark):
     nodes = bridge.node_fingerprints(built(spark, p="a b c", q="x y z", r="a x").withColumnRenamed("k", "node"))
     asked = built(spark, ask="a b").select("bm")
     assert [r.node for r in bridge.route(nodes, asked, 5).collect()] == ["p", "r"]
+    router = bridge.Router(nodes).remove_node("q").add_set("r", built(spark, z="b").select("bm")).remove_set("p")
+    assert {r.node: r.set_count for r in router.nodes.collect()} == {"p": 0, "r": 2} and len(router) == 2 and not router.is_empty()
+    assert [(r.node, r.tau) for r in router.rank(asked, 5).collect()] == [("p", 1.0), ("r", 1.0)]
     assert bridge.coverage(nodes.select("bm").limit(0), asked).first().coverage == 0
     assert bridge.coverage(built(spark, x="a", y="b").select("bm"), asked).first().coverage == 1
     assert bridge.coverage(asked, built(spark, x="").select("bm")).first().coverage == 1
@@ -208,6 +211,8 @@ def test_pyramid(spark):
 
 def test_time(spark):
     assert spark.range(1).select(temporal.controller(F.lit(0.4), F.lit(1.0)).alias("x"), temporal.controller(F.lit(0.6), F.lit(0.2)).alias("y"), temporal.controller(F.lit(0.6), F.lit(0.9)).alias("z")).first() == ("override", "re-route", "stable")
+    channels = spark.createDataFrame([("x", 3.0, 1.0, 0.0), ("x", 1.0, 0.0, 1.0)], "k string, card_b double, tau double, rho double")
+    assert temporal.channel_inclusion(channels, "k").first().asDict() == {"k": "x", "tau": 0.75, "rho": 0.25}
     layers = spark.createDataFrame([(0, 1), (0, 2), (1, 1), (1, 2), (2, 1)], "layer int, bit int")
     pairs = temporal.cooccurrence(layers, spark.createDataFrame([(1,), (2,)], "bit int")).collect()
     assert [(r.a, r.b, r.n) for r in pairs] == [(1, 2, 2)]

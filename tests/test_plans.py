@@ -86,13 +86,32 @@ def test_programs(spark):
     assert run('"a" 1 INSCRIBE STORE PIN GC') == [[]] and run('"a" 1 INSCRIBE STORE DUP PIN UNPIN GC') == [[key]]
 
 
+def test_files(spark, tmp_path):
+    from bitloom.sources import files
+
+    (tmp_path / "a" / "target").mkdir(parents=True)
+    for name, text in (("a/x.md", "hello big world"), ("a/y.bin", "no"), ("a/target/z.md", "no"), ("a/e.txt", "  ")):
+        (tmp_path / name).write_text(text)
+    found = files.read_files(spark, str(tmp_path / "a"), exclude=("target",))
+    assert sorted(r.path.rpartition("/")[2] for r in found.collect()) == ["e.txt", "x.md"]
+    row = files.records(found).collect()
+    assert [(r.popcount, r.token_count, r.card) for r in row] == [(3, 3, 3.0)] and row[0].sketch_key.startswith("h:")
+    assert files.not_indexed(found, files.records(found)).count() == 1
+    old, new = (spark.createDataFrame(r, "path string, content string") for r in ([("a", "1"), ("b", "1"), ("c", "1")], [("a", "1"), ("b", "2"), ("d", "1")]))
+    changed = files.changes(old, new)
+    assert {r.path: r.status for r in changed.collect()} == {"b": "M", "c": "D", "d": "A"}
+    assert files.divergence(changed).first().asDict() == {"added": 1, "deleted": 1, "difference": 0, "diverges": False}
+    files.write_metadata(str(tmp_path / "m.json"), {"b": 1})
+    assert (tmp_path / "m.json").read_text().startswith("{")
+
+
 def test_queries_equal_their_sql(spark, sf):
     """All queries of the engine against DuckDB, at the smallest scale."""
     import os
 
     import duckdb
 
-    from bitloom.plans import queries_time  # noqa: F401
+    from bitloom.plans import queries_more, queries_time  # noqa: F401
     from bitloom.plans.queries import QUERIES, SQL
 
     db = duckdb.connect()
@@ -103,7 +122,7 @@ def test_queries_equal_their_sql(spark, sf):
         plain = lambda v: round(v, 9) if isinstance(v, float) else v if v is None or isinstance(v, (int, bool)) else str(v)
         return sorted((tuple(map(plain, r)) for r in values), key=repr)
 
-    assert set(SQL) <= set(QUERIES) and len(QUERIES) >= 70
+    assert set(SQL) <= set(QUERIES) and len(QUERIES) >= 100
     for name, sql in SQL.items():
         df, other = QUERIES[name](spark, sf), db.sql(sql)
         cols = sorted(df.columns)
