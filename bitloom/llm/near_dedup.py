@@ -143,16 +143,18 @@ def _left_over(large: DataFrame, labels: DataFrame, reps: DataFrame, k: int, per
     large = large.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     parts = large.groupBy("key", "label").agg(F.count("*").alias("n"))
     main = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+    main = written(main.select("key", F.col("m.label").alias("main")), "main")
     mixed = written(
-        large.join(main.select("key", F.col("m.label").alias("main")), "key")
+        large.join(main, "key")
         .join(reps.select("id", "sig", "text"), "id")
         .select("key", "id", "label", (F.col("label") == F.col("main")).cast("int").alias("side"), "sig", "text"),
         "mixed",
     )
-    size = mixed.groupBy("key", "side").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.length("text") + 600) / BLOCK_BYTES)).alias("blocks"))
+    size = written(mixed.groupBy("key", "side").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.length("text") + 600) / BLOCK_BYTES)).alias("blocks")), "blocks")
     blocks = written(
         mixed.join(size, ["key", "side"])
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        .repartition("key", "side", "block")  # else a bucket's blocks would stay together
         .groupBy("key", "side", "block")
         .agg(F.sort_array(F.collect_list(F.struct("id", "label", "sig", "text"))).alias("rows")),
         "blocks",
@@ -182,7 +184,8 @@ def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
     first = real.join(classes.select("hi", "lo", F.col("rep").alias("id")), ["hi", "lo", "id"])
     sigs = written((first.dropDuplicates(["hi", "lo", "id"]) if repeated else first).select("id", "sig"), "sigs")
     keyed = sigs.mapInArrow(_bands, "key long, id long")
-    counts = keyed.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    # written, so that the join has plain exchanges on both sides and Spark can split a hot band
+    counts = written(keyed.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1"), "counts")
     shared = written(keyed.join(counts, "key"), "shared")
     stars = shared.filter("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
     small = shared.filter(f"n <= {SMALL}").select("key", "id")
