@@ -140,9 +140,10 @@ def plan(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "h
     """(id, url, html, sha1, refers): refers is the response's id for a revisit, null for a response."""
     rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
     rows = rows.withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
-    last = rows.groupBy("sha1").agg(F.max("id").alias("last"))
+    # only digests that recur, written: usually few, so that the pages themselves need no shuffle; if many, a hot one can be split
+    last = written(rows.groupBy("sha1").agg(F.max("id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n"), "recurring")
     refers = F.when(F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last")), F.col("last"))
-    return rows.join(last, "sha1").select("id", "url", "html", "sha1", refers.alias("refers"))
+    return rows.join(last, "sha1", "left").select("id", "url", "html", "sha1", refers.alias("refers"))
 
 
 def write(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
