@@ -46,7 +46,7 @@ GENERATORS = {
     "ipv6": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){4,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     "phone_local": re.compile(r"(?<![0-9+().-])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){2,4}(?![0-9.-])"),
     "card_loose": re.compile(r"(?<![0-9])[0-9]{4}(?:[ .-]?[0-9]{4}){2}[ .-]?[0-9]{1,7}(?![0-9])"),
-    "email_spelled": re.compile(r"\b[a-z0-9._-]{2,30} ?(?:\(at\)|\[at\]| at ) ?[a-z0-9-]{2,30} ?(?:\(dot\)|\[dot\]| dot ) ?[a-z]{2,10}\b"),
+    "email_spelled": re.compile(r"\b[a-z0-9._-]{2,30}+ ?(?:\(at\)|\[at\]| at ) ?[a-z0-9-]{2,30} ?(?:\(dot\)|\[dot\]| dot ) ?[a-z]{2,10}\b"),
 }
 CUES = {
     "secret": ("token", "secret", "key", "password", "passwd", "pwd", "bearer", "credential"),
@@ -145,8 +145,9 @@ def _example(r: random.Random) -> tuple[str, int, int, str, int]:
         span = r.choice((hexa(40), hexa(32), mixed(r.randint(24, 60)), hexa(64)))
         if true:
             lead += cue("secret") + r.choice((' = "', "=", ": ", ': "', " "))
-        elif r.random() < 0.5:
-            span = r.choice(("-" * r.randint(20, 60), "=" * r.randint(20, 60), "_".join(word() for _ in range(8)), "".join(word() for _ in range(9)), "/".join(word() for _ in range(8)), mixed(1) * 30, digits(24)))
+        elif r.random() < 0.7:
+            joined = r.choice("-_/").join(r.choice((word(), word(), digits(r.randint(1, 4)), word().title())) for _ in range(r.randint(6, 12)))
+            span = r.choice((joined, joined, joined, "".join(word().title() for _ in range(8)) + digits(1), "-" * r.randint(20, 60), "=" * r.randint(20, 60), "_".join(word() for _ in range(8)), "".join(word() for _ in range(9)), "/".join(word() for _ in range(8)), mixed(1) * 30, digits(24)))
         else:
             lead += cue("number") + r.choice((" ", ": ", "/"))
     elif kind == "iban":
@@ -169,8 +170,8 @@ def _example(r: random.Random) -> tuple[str, int, int, str, int]:
         if true:
             lead += cue("phone") + r.choice((" ", ": ", ". "))
         else:
-            span = r.choice((f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(3)} {digits(3)} {digits(3)}", f"{digits(2)} {digits(2)} {digits(2)}"))
-            lead += r.choice(("", cue("number") + " ", "$"))
+            span = r.choice((f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(3)} {digits(3)} {digits(3)}", f"{digits(2)} {digits(2)} {digits(2)}", r.choice(" .-").join(digits(r.randint(2, 4)) for _ in range(r.randint(3, 5)))))
+            lead += r.choice(("", cue("number") + " ", "$", cue("person") + " "))
     elif kind == "card_loose":
         body = digits(15)
         last = next(c for c in "0123456789" if luhn(body + c))
@@ -178,8 +179,9 @@ def _example(r: random.Random) -> tuple[str, int, int, str, int]:
         span = span if r.random() < 0.5 else r.choice(" .-").join(span[i : i + 4] for i in range(0, 16, 4))
         lead += cue("card") + " " if true else r.choice(("", cue("number") + " "))
     else:
-        span = f"{word()}{r.choice(('(at)', '[at]', ' at '))}{word()}{r.choice(('(dot)', '[dot]', ' dot '))}{r.choice(('com', 'org', 'net'))}"
-        lead += cue("mail") + " " if true else ""
+        at, dot = r.choice((("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" at ", " dot "))) if true else (" at ", " dot ")
+        span = f"{word()}{at}{word()}{dot}{r.choice(('com', 'org', 'net')) if true or r.random() < 0.3 else word()}"
+        lead += cue("mail") + " " if true and (at == " at " or r.random() < 0.5) else ""
     text = lead + span + r.choice(('"', " ", ".", "")) + f" {word()} {word()}"
     return text, len(lead), len(lead) + len(span), kind, int(true)
 
