@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.consts import BITMAP_BYTES, M, REG_BITS, TOTAL_BITS
-from bitloom.functions.hashing import reg_of, token_bits, tz_of
+from bitloom.functions.hashing import murmur3, positions, reg_of, token_bits, tz_of
 
 
 def atoms(df: DataFrame, tokens: Column, *keys: str, seed: int = 0) -> DataFrame:
@@ -27,6 +27,27 @@ def build(df: DataFrame, tokens: Column, *keys: str, seed: int = 0) -> DataFrame
     return pack(bits, *keys)
 
 
+def of_tokens(tokens: Column | str, seed: int = 0) -> Column:
+    """The packed sketch of a row's own tokens: hashed and packed in one call, without a shuffle. Null tokens: null."""
+
+    def run(values: pd.Series) -> pd.Series:
+        lists = [None if v is None else list(dict.fromkeys(t for t in v if t is not None)) for v in values]
+        flat = [t.encode() if isinstance(t, str) else bytes(t) for v in lists if v for t in v]
+        found, out, at = positions(murmur3(flat, seed)), [], 0
+        for v in lists:
+            if v is None:
+                out.append(None)
+                continue
+            flags = np.zeros(TOTAL_BITS, np.uint8)
+            flags[found[at : at + len(v)]] = 1
+            out.append(np.packbits(flags, bitorder="little").tobytes())
+            at += len(v)
+        return pd.Series(out, index=values.index)
+
+    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "binary")(tokens)
+
+
 def pack(bits: DataFrame, *keys: str) -> DataFrame:
     """(keys, bm) from (keys, bit); a null bit sets nothing."""
     return bits.groupBy(*keys).agg(F.bitmap_construct_agg(F.col("bit")).alias("bm"))

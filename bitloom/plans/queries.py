@@ -46,6 +46,11 @@ def sets(spark, d, *keys: str) -> DataFrame:
     return sketch.build(docs(spark, d), words(), *keys)
 
 
+def own_sets(spark, d, *keys: str) -> DataFrame:
+    """(keys, bm) of each document: what stands in one row needs no aggregation."""
+    return docs(spark, d).select(*keys, sketch.of_tokens(words()).alias("bm"))
+
+
 def rows(spark, d, *keys: str) -> DataFrame:
     return sketch.atoms(docs(spark, d), words(), *keys)
 
@@ -178,7 +183,7 @@ def lang_symmetric_difference(spark, d):
 
 @query(O.with_(O.atoms("source")) + "SELECT source, count(*) AS popcount FROM at_ GROUP BY source")
 def union_all_by_source(spark, d):
-    per_doc = sets(spark, d, "doc_id", "source")
+    per_doc = own_sets(spark, d, "source")
     return algebra.union_all(per_doc, "source").select("source", sketch.popcount("bm").alias("popcount"))
 
 
@@ -243,7 +248,7 @@ _LE2 = "substr(printf('%04X', {0}), 3, 2) || substr(printf('%04X', {0}), 1, 2)"
     SELECT doc_id, count(*) AS n, string_agg({_LE2.format('bit')}, '' ORDER BY bit) AS body FROM at_ GROUP BY doc_id HAVING count(*) <= 4096)""")
 def bitmap_keys(spark, d):
     """Of the documents whose sketch is serialized as an array (the SQL twin has no other form)."""
-    s = sets(spark, d, "doc_id").filter(sketch.popcount("bm").between(1, 4096))
+    s = own_sets(spark, d, "doc_id").filter(sketch.popcount("bm").between(1, 4096))
     return s.select("doc_id", Z.bitmap_key("bm").alias("key"))
 
 
@@ -482,7 +487,7 @@ def bridge_topk(spark, d):
 
 @query(O.with_(O.atoms("source, doc_id")) + "SELECT source, count(DISTINCT bit) AS popcount, count(DISTINCT doc_id) AS set_count FROM at_ GROUP BY source")
 def node_fingerprints(spark, d):
-    n = bridge.node_fingerprints(sets(spark, d, "source", "doc_id").filter(sketch.popcount("bm") > 0), "source")
+    n = bridge.node_fingerprints(own_sets(spark, d, "source").filter(sketch.popcount("bm") > 0), "source")
     return n.select("source", sketch.popcount("bm").alias("popcount"), "set_count")
 
 

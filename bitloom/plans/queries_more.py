@@ -10,7 +10,7 @@ from bitloom.functions import records as Z
 from bitloom.functions.text import Pattern, Tokenizer
 from bitloom.operators import algebra, search, sketch, temporal
 from bitloom.plans import oracle as O
-from bitloom.plans.queries import _LANGS, _LIST, _pairs, docs, query, read, rows, sets, words
+from bitloom.plans.queries import _LANGS, _LIST, _pairs, docs, own_sets, query, read, rows, sets, words
 from bitloom.sources import files
 
 _SWAP = "substr({0}, 7, 2) || substr({0}, 5, 2) || substr({0}, 3, 2) || substr({0}, 1, 2)"
@@ -126,7 +126,7 @@ def equal_token_sets(spark, d):
 @query(O.with_(O.atoms("doc_id"), "e AS (SELECT doc_id, list(bit ORDER BY bit) AS b FROM at_ GROUP BY doc_id)") + "SELECT min(doc_id) AS first, count(*) AS n FROM e GROUP BY b HAVING count(*) > 1")
 def equal_sketches(spark, d):
     """Documents of equal sketches: packed ones are compared as bytes."""
-    s = sets(spark, d, "doc_id").filter(sketch.popcount("bm") > 0)
+    s = own_sets(spark, d, "doc_id").filter(sketch.popcount("bm") > 0)
     return s.groupBy("bm").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("first", "n")
 
 

@@ -28,6 +28,8 @@ def test_sketch_is_the_or_of_token_bits(spark):
     s = built(spark, a="one two three", b="", c="one one")
     got = {r.k: (set(r.x), r.n) for r in s.select("k", sketch.bits("bm").alias("x"), sketch.popcount("bm").alias("n")).collect()}
     assert got == {"a": (bits_of(["one", "two", "three"]), 3), "b": (set(), 0), "c": (bits_of(["one"]), 1)}
+    own = texts(spark, a="one two three", b="", c="one one").select("k", sketch.of_tokens(DEFAULT.tokens("text")).alias("bm"))
+    assert {r.k: bytes(r.bm) for r in own.collect()} == {r.k: bytes(r.bm) for r in s.collect()}
     reg, tz = divmod(next(iter(bits_of(["one"]))), 32)
     assert {r.k: r.h for r in s.select("k", sketch.has_bit(F.col("bm"), reg, tz).alias("h")).collect()} == {"a": True, "b": False, "c": True}
 
