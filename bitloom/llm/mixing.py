@@ -91,12 +91,15 @@ def mix(queued: DataFrame, repeats: int = REPEATS) -> DataFrame:
 def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """docs' rows as often as the mix takes them, with docs' own columns. A text that the budget cuts keeps its first
     words, with one space between them."""
-    taken = mix(queue(docs, id, text, source, **how)).select("id", "source", "content", "size", "words")
+    queued = queue(docs, id, text, source, **how)
+    repeated = not queued.groupBy("id", "source", "content").count().filter("count > 1").isEmpty()
+    taken = mix(queued).select("id", "source", "content", "size", "words")
     names = {c: f"mine_{i}" for i, c in enumerate(docs.columns)}
     mine = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.xxhash64(text).alias("mine"))
     keys = {"id": names[id], "source": names[source], "content": "mine"}
     same = [taken[a].eqNullSafe(mine[b]) for a, b in keys.items()]
-    both = mine.dropDuplicates(list(keys.values())).join(taken, same[0] & same[1] & same[2])
+    mine = mine.dropDuplicates(list(keys.values())) if repeated else mine  # each of their entries then finds one
+    both = mine.join(taken, same[0] & same[1] & same[2])
     cut = F.concat_ws(" ", F.slice(words(F.col(names[text])), 1, F.col("words").cast("int")))
     now = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col(names[text]))
     return both.select(*((now if c == text else F.col(n)).alias(c) for c, n in names.items()))
