@@ -123,7 +123,10 @@ def _block_comparer(k: int, percent: int, fewest: np.ndarray):
 
     def run(batches):
         for batch in batches:
-            found = [uv for r in batch.to_pylist() for uv in compare(r["key"], r["a"], r["b"], r["same"])]
+            found = []
+            for i in range(batch.num_rows):  # one pair of blocks in memory at a time
+                r = batch.slice(i, 1).to_pylist()[0]
+                found += compare(r["key"], r["a"], r["b"], r["same"])
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
 
     return run
