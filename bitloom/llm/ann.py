@@ -1,11 +1,11 @@
 """Nearest neighbours by collision counting: sorted single projections, query-centred windows, virtual rehashing.
 
-Every vector is indexed, in shards of about SHARD_ROWS. A shard keeps PROJECTIONS sorted arrays of Gaussian projections;
+Every vector is indexed, in shards of about SHARD_NUMBERS components. A shard keeps PROJECTIONS sorted arrays of Gaussian projections;
 the windows around a query's own projections widen step by step, as if the hash had wider buckets, and what newly falls
 into them counts as a collision. A vector with at least ``needed`` collisions is verified by its true distance, and the
 search ends when k verified ones lie within the radius of the step: by then a vector at that distance has been verified
 with the probability of CONFIDENCE standard deviations. Each shard gives its k best, and the k best of those are the
-answer, so that shards cost no recall. Queries are dealt out in blocks of QUERY_ROWS over all shards.
+answer, so that shards cost no recall. Queries are dealt out in blocks of QUERY_NUMBERS components over all shards.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null
 id; vectors of other lengths are searched among themselves; ties go to the smaller id; equal vectors are neighbours at
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from bitloom.llm.common import ship, table, written
 
-SHARD_ROWS, QUERY_ROWS, PROJECTIONS, HALF_WIDTH, CONFIDENCE, GROWTH, SEED = 16_384, 256, 64, 1.35, 2.0, 1.06, 5
+#: Numbers in a shard and in a block of queries: 16,384 and 256 vectors of 64.
+SHARD_NUMBERS, QUERY_NUMBERS = 1 << 20, 1 << 14
+PROJECTIONS, HALF_WIDTH, CONFIDENCE, GROWTH, SEED = 64, 1.35, 2.0, 1.06, 5
 #: The chance that two vectors at the distance of the radius collide under one projection: P(|Z| <= HALF_WIDTH).
 COLLIDE = 0.8230
 
@@ -108,8 +110,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_
     """(query_id, rank, vec_id, score) of each query's k nearest rows of vectors."""
     ship(vectors.sparkSession)
     rows, asked = usable(vectors, id, vector), usable(queries, id, vector)
-    blocks = lambda df, size: df.groupBy("dim").agg(F.ceil(F.count("*") / size).alias("n"))
-    shards, asks = written(blocks(rows, SHARD_ROWS), "shards"), blocks(asked, QUERY_ROWS)
+    blocks = lambda df, size: df.groupBy("dim").agg(F.ceil(F.count("*") * F.greatest("dim", F.lit(1)) / size).alias("n"))
+    shards, asks = written(blocks(rows, SHARD_NUMBERS), "shards"), blocks(asked, QUERY_NUMBERS)
     dealt = rows.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("id"), "n"))
     dealt = written(dealt.groupBy("dim", "shard").agg(F.collect_list(F.struct("id", "v")).alias("rows")), "index")
     own = asked.join(asks, "dim").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), "n"))

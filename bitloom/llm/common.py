@@ -14,12 +14,15 @@ from bitloom.plans.ship import ship  # noqa: F401
 WHITE = " \t\n\x0b\x0c\r"
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all machines see; in a session without it (a test) a temporary one."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, which all machines see; where it is unset (a test) a temporary one."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="bitloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="bitloom-"))
     return folder.rstrip("/")
 
 

@@ -291,7 +291,7 @@ def test_recall_and_scores(spark, sf):
 
 
 def test_odd_vectors(spark, monkeypatch):
-    monkeypatch.setattr(ann, "SHARD_ROWS", 8)
+    monkeypatch.setattr(ann, "SHARD_NUMBERS", 24)
     nan, inf = float("nan"), float("inf")
     good = [(i, [float(i % 3), 1.0, 0.5 * (i // 3)]) for i in range(20)]
     odd = [(100, None), (101, [0.0, 0.0, 0.0]), (102, [nan, 1.0, 1.0]), (103, [inf, 1.0, 1.0]), (104, [None, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (105, [1.0, 2.0]), (200, []), (300, [9.0, 9.0])]
