@@ -9,22 +9,68 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bitloom.consts import BITMAP_BYTES, M, REG_BITS, TOTAL_BITS
 from bitloom.functions.hashing import murmur3, positions, reg_of, token_bits, tz_of
 
+#: Partial sketches that a task holds at once: 16 MB.
+HELD = 4096
+
 
 def atoms(df: DataFrame, tokens: Column, *keys: str, seed: int = 0) -> DataFrame:
     """(keys, bit), distinct. Hashed within the rows, so only distinct bits of a row go on."""
     return df.select(*keys, F.explode(token_bits(tokens, seed)).alias("bit")).distinct()
 
 
-def build(df: DataFrame, tokens: Column, *keys: str, seed: int = 0) -> DataFrame:
-    """(keys, bm): the sketch of each group's tokens. Groups without tokens have an empty sketch."""
-    bits = df.select(*keys, F.explode_outer(token_bits(tokens, seed)).alias("bit"))
-    return pack(bits, *keys)
+def _combiner(n_keys: int):
+    """Partial sketches of a task: a batch's distinct tokens are hashed once, and ORed into the sketch of each row's key.
+    No more than HELD sketches are kept; those go out as they are, to be ORed after the shuffle."""
+
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+
+        def out():
+            columns = list(zip(*held)) or [()] * n_keys
+            arrays = [pa.array(c, t) for c, t in zip(columns, types)] + [pa.array([r.tobytes() for r in held.values()], pa.binary())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(arrays, [*names, "bm"])
+
+        for batch in batches:
+            names, types = batch.schema.names[:n_keys], batch.schema.types[:n_keys]
+            lists = batch.column(n_keys)
+            parent, encoded = np.asarray(pc.list_parent_indices(lists)), lists.flatten().dictionary_encode()
+            known = np.asarray(encoded.indices.is_valid())
+            parent, index = parent[known], np.asarray(encoded.indices.drop_null())
+            found = positions(murmur3([t.encode() if isinstance(t, str) else t for t in encoded.dictionary.to_pylist()]))[index]
+            slots: dict[tuple, int] = {}
+            rows = zip(*(batch.column(i).to_pylist() for i in range(n_keys))) if n_keys else [()] * batch.num_rows
+            slot = np.array([slots.setdefault(k, len(slots)) for k in rows], np.int64)[parent]
+            for first in range(0, len(slots), 256):  # unpacked, 256 sketches are 8 MB
+                part = (slot >= first) & (slot < first + 256)
+                flags = np.zeros((min(256, len(slots) - first), TOTAL_BITS), np.uint8)
+                flags[slot[part] - first, found[part]] = 1
+                for key, packed in zip(list(slots)[first : first + 256], np.packbits(flags, axis=1, bitorder="little")):
+                    held[key] = held[key] | packed if key in held else packed
+                if len(held) > HELD:
+                    yield out()
+        if held:
+            yield out()
+
+    return run
+
+
+def build(df: DataFrame, tokens: Column, *keys: str) -> DataFrame:
+    """(keys, bm): the sketch of each group's tokens. Groups without tokens have an empty sketch.
+
+    Combined within each task, so that 4 KiB for each set and task are shuffled and nothing is sorted before."""
+    rows = df.select(*keys, tokens.alias("tokens_"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("bm", T.BinaryType())])
+    return rows.mapInArrow(_combiner(len(keys)), schema).groupBy(*keys).agg(F.bitmap_or_agg("bm").alias("bm"))
 
 
 def of_tokens(tokens: Column | str, seed: int = 0) -> Column:
