@@ -13,11 +13,10 @@ from bitloom.operators import sketch
 
 
 def _counts(rows: DataFrame, *keys: str) -> DataFrame:
-    """(keys, n): the 32 counts of each set of (keys, bit)."""
-    each = rows.groupBy(*keys, tz_of(F.col("bit")).alias("tz")).agg(F.count("*").cast("int").alias("c"))
-    found = each.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("tz", "c"))).alias("m"))
-    level = F.transform(F.sequence(F.lit(0), F.lit(REG_BITS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
-    return found.select(*keys, level.alias("n"))
+    """(keys, n): the 32 counts of each set of (keys, bit), in one aggregation."""
+    level = tz_of(F.col("bit"))
+    each = rows.groupBy(*keys).agg(*(F.count_if(level == i).cast("int").alias(f"n{i}") for i in range(REG_BITS)))
+    return each.select(*keys, F.array(*(F.col(f"n{i}") for i in range(REG_BITS))).alias("n"))
 
 
 def inclusion(queries: DataFrame, sets: DataFrame, query: str, key: str) -> DataFrame:
