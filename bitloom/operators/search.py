@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,6 +12,9 @@ from bitloom.consts import REG_BITS, TOTAL_BITS
 from bitloom.functions.hashing import token_bits, tz_of
 from bitloom.operators import sketch
 
+#: Rows of a pair of blocks whose dot products a task makes at once.
+QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
+
 
 def _counts(rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, n): the 32 counts of each set of (keys, bit), in one aggregation."""
@@ -68,12 +72,41 @@ def levels(df: DataFrame, tokens: Column, most: int, *keys: str) -> DataFrame:
     return sketch.pack(flat, *keys, "level")
 
 
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    """One row for each vector; of NaN for a null one or a null value."""
+    width = max((len(v) for v in vectors if v is not None), default=0)
+    return np.array([np.full(width, np.nan) if v is None else v for v in vectors], np.float64).reshape(len(vectors), width)
+
+
+def _best(k: int):
+    """The k best pairs of each query in one pair of blocks, ties by id; null scores last."""
+
+    def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        q, v = _matrix(queries["q"]), _matrix(vectors["v"]).T
+        score, ids, parts = np.zeros((len(q), v.shape[1])), vectors["id"].to_numpy(), []
+        for d in range(q.shape[1] if v.size else 0):  # summed in one order, so equal vectors have equal scores
+            score += q[:, d, None] * v[d]
+        for query, s in zip(queries["query"], score):
+            low = np.nan_to_num(-s, nan=np.inf)
+            at = np.flatnonzero(low <= np.partition(low, k - 1)[k - 1]) if len(low) > k else np.arange(len(low))
+            at = at[np.lexsort((ids[at], low[at]))[:k]]
+            parts.append(pd.DataFrame({"query": query, "id": ids[at], "score": s[at]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"query": [], "id": [], "score": []})
+
+    return run
+
+
 def embed_tokens(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query, tokens): tid{n} of the k vectors of greatest dot product with each of a stated set of queries."""
-    a = queries.select(F.col(id).alias("query"), F.col(vector).cast("array<double>").alias("q"))
-    b = vectors.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = b.join(F.broadcast(a)).select("query", "id", dot.alias("score"))
+    """(query, tokens): tid{n} of the k vectors of greatest dot product with each of a stated set of queries.
+
+    Both are dealt out in blocks; a task has one pair of blocks at a time, and k pairs of each query leave it."""
+    kind = vectors.schema[id].dataType.simpleString()
+    n_q, n_v = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-vectors.count() // VECTOR_BLOCK))
+    block = lambda n: F.pmod(F.xxhash64(id), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = queries.select(F.col(id).alias("query"), F.col(vector).cast("array<double>").alias("q"), block(n_q).alias("i"), every(n_v).alias("j"))
+    b = vectors.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"), block(n_v).alias("j"), every(n_q).alias("i"))
+    scored = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(_best(k), f"query {kind}, id {kind}, score double")
     best = top(scored, "query", "id", "score", k)
     return best.groupBy("query").agg(F.sort_array(F.collect_list(F.concat(F.lit("tid"), F.col("id").cast("string")))).alias("tokens"))
 

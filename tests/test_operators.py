@@ -263,3 +263,18 @@ def test_stream_of_commits(spark, sf, tmp_path):
     assert {r.layer for r in layers.collect()} == {0, 1}
     whole = sketch.pack(events.select(F.explode(token_bits(F.array(F.col("user_id").cast("string")))).alias("bit")))
     assert bytes(algebra.union_all(layers).first().bm) == bytes(whole.first().bm)
+
+
+def test_embed_tokens_of_every_twentieth_id(spark, sf, monkeypatch):
+    from bitloom.plans import queries_time  # noqa: F401
+    from bitloom.plans.queries import QUERIES
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(search, "VECTOR_BLOCK", 90)
+    v = {r.vec_id: np.array(r.embedding, np.float64) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    want = {}
+    for q in (i for i in v if i % 20 == 0):
+        best = sorted(v, key=lambda i: (-sum(x * y for x, y in zip(v[q].tolist(), v[i].tolist())), i))[:10]
+        want[q] = ",".join(sorted(f"tid{i}" for i in best))
+    got = {r.query: r.tokens for r in QUERIES["embed_sketch_whole"](spark, sf).collect()}
+    assert len(want) > 5 and got == want
