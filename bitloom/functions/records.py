@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bitloom.consts import BITMAP_BYTES, M, MODULE_PORTS, TOTAL_BITS
+from bitloom.functions.hashing import murmur3, positions
 from bitloom.operators.sketch import matrix
 
 _COOKIE, _ARRAY_MOST = 12346, 4096
@@ -87,6 +92,33 @@ def bitmap_key(bm: Column | str) -> Column:
     return F.concat(F.lit("h:"), content_hash(bm))
 
 
+def _keyed(n_keys: int):
+    """bitmap_key() of the tokens in a batch's last column, 256 rows at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):  # unpacked, 256 sketches are 8 MB
+                part = batch.slice(first, 256)
+                lists = part.column(n_keys)
+                parent, encoded = np.asarray(pc.list_parent_indices(lists)), lists.flatten().dictionary_encode()
+                known, index = np.asarray(encoded.indices.is_valid()), np.asarray(encoded.indices.drop_null())
+                found = positions(murmur3([t.encode() for t in encoded.dictionary.to_pylist()]))[index]
+                flags = np.zeros((part.num_rows, TOTAL_BITS), np.uint8)
+                flags[parent[known], found] = 1
+                keys = [f"h:{hashlib.sha1(to_bytes_of(np.flatnonzero(f))).hexdigest()}" for f in flags]
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_keys], pa.array(keys, pa.string())], [*part.schema.names[:n_keys], "key"])
+
+    return run
+
+
+def bitmap_keys(df: DataFrame, tokens: Column, *keys: str) -> DataFrame:
+    """(keys, key): bitmap_key() of each row's own tokens, where no more than a few rows are unpacked at once. Null tokens
+    are none."""
+    rows = df.select(*keys, tokens.alias("tokens_"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("key", T.StringType())])
+    return rows.mapInArrow(_keyed(len(keys)), schema)
+
+
 def to_bytes_native(bits: Column) -> Column:
     """to_bytes() of an array of up to 4,096 ascending bits in built-in functions."""
     le2 = lambda x: F.regexp_replace(F.lpad(F.hex(x.cast("long")), 4, "0"), "(..)(..)", "$2$1")

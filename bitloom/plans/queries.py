@@ -247,9 +247,9 @@ _LE2 = "substr(printf('%04X', {0}), 3, 2) || substr(printf('%04X', {0}), 1, 2)"
 @query(O.with_(O.atoms("doc_id")) + f"""SELECT doc_id, 'h:' || sha1(unhex('3A300000010000000000' || {_LE2.format('n - 1')} || '10000000' || body)) AS key FROM (
     SELECT doc_id, count(*) AS n, string_agg({_LE2.format('bit')}, '' ORDER BY bit) AS body FROM at_ GROUP BY doc_id HAVING count(*) <= 4096)""")
 def bitmap_keys(spark, d):
-    """Of the documents whose sketch is serialized as an array (the SQL twin has no other form)."""
-    s = own_sets(spark, d, "doc_id").filter(sketch.popcount("bm").between(1, 4096))
-    return s.select("doc_id", Z.bitmap_key("bm").alias("key"))
+    """Of every document, in whichever of the three forms its sketch has: none, an array, or bits. The SQL twin has arrays
+    only; a null text is empty."""
+    return Z.bitmap_keys(docs(spark, d), words(), "doc_id")
 
 
 _COMMIT = """SELECT n_nationkey AS ts, '{"ts":' || n_nationkey || ',"s":"' || n_name || '","h":"h:' || n_regionkey || '","d":"d","r":"r","n":"n"}' AS body FROM nation"""

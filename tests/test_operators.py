@@ -278,3 +278,24 @@ def test_embed_tokens_of_every_twentieth_id(spark, sf, monkeypatch):
         want[q] = ",".join(sorted(f"tid{i}" for i in best))
     got = {r.query: r.tokens for r in QUERIES["embed_sketch_whole"](spark, sf).collect()}
     assert len(want) > 5 and got == want
+
+
+def test_bitmap_keys_of_empty_and_dense_documents(spark, tmp_path):
+    import hashlib
+    import struct
+
+    from bitloom.plans.queries import QUERIES
+
+    many = [f"w{i}" for i in range(30_000)]
+    rows = [(1, " ".join(many)), (2, "日本語 — ..."), (3, ""), (4, None), (5, "one two")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.key for r in QUERIES["bitmap_keys"](spark, str(tmp_path)).collect()}
+    key = lambda data: "h:" + hashlib.sha1(data).hexdigest()
+    dense, few = bits_of(many), sorted(bits_of(["one", "two"]))
+    assert len(dense) > 4096
+    body = bytearray(8192)
+    for b in dense:
+        body[b // 8] |= 1 << b % 8
+    head = lambda n: struct.pack("<IIHHI", 12346, 1, 0, n - 1, 16)
+    empty = key(struct.pack("<II", 12346, 0))
+    assert got == {1: key(head(len(dense)) + bytes(body)), 2: empty, 3: empty, 4: empty, 5: key(head(2) + struct.pack("<2H", *few))}
