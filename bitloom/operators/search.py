@@ -120,16 +120,20 @@ def complement(bits: DataFrame) -> DataFrame:
     return top_bits(bits.sparkSession).join(bits.select("bit"), "bit", "left_anti")
 
 
-def minimal_cover(sets: DataFrame, target: DataFrame, key: str, rounds: int) -> list[str]:
-    """Keys chosen greedily, each for the most target bits that are still uncovered, ties by key; ``rounds`` at most."""
-    sets, left, chosen = sets.select(key, "bit").persist(), target.select("bit").distinct(), []
-    for _ in range(rounds):
-        best = sets.join(left, "bit").groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).first()
+def minimal_cover(sets: DataFrame, target: DataFrame, key: str, rounds: int | None = None) -> list[str]:
+    """Keys chosen greedily, each for the most target bits that are still uncovered, ties by key, until no key adds a bit
+    (each round takes one key) or for a stated number of rounds. Every round has the same plan, however many went before."""
+    target = target.select("bit").distinct().persist()
+    sets, chosen = sets.select(key, "bit").join(target, "bit", "left_semi").distinct().persist(), []
+    while rounds is None or len(chosen) < rounds:
+        taken = F.when(F.col(key).isNull(), F.lit(None in chosen)).otherwise(F.col(key).isin([c for c in chosen if c is not None]))
+        covered = sets.filter(taken).select("bit").distinct()
+        best = sets.join(covered, "bit", "left_anti").groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).first()
         if best is None:
             break
         chosen.append(best[key])
-        left = left.join(sets.filter(F.col(key) == best[key]).select("bit"), "bit", "left_anti")
     sets.unpersist()
+    target.unpersist()
     return chosen
 
 

@@ -157,9 +157,10 @@ def controller_actions(spark, d):
 
 @query()
 def minimal_cover(spark, d):
-    """Sources chosen greedily until the benchmark's bits are covered, ten at most (a loop of bounded rounds on the driver)."""
+    """Sources chosen greedily until no source adds one of the benchmark's bits (a loop on the driver, a source a round)."""
     target = sketch.atoms(read(spark, d, "benchmark"), words())
-    chosen = search.minimal_cover(rows(spark, d, "source"), target, "source", 10)
+    own = sets(spark, d, "source").select("source", F.explode(sketch.bits("bm")).alias("bit"))
+    chosen = search.minimal_cover(own, target, "source")
     return spark.createDataFrame(list(enumerate(chosen)), "round long, source string")
 
 

@@ -1,5 +1,7 @@
 """Laws and small examples of sketches, algebra, reverse index, contexts, bridges, time and search."""
 
+import collections
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -299,3 +301,21 @@ def test_bitmap_keys_of_empty_and_dense_documents(spark, tmp_path):
     head = lambda n: struct.pack("<IIHHI", 12346, 1, 0, n - 1, 16)
     empty = key(struct.pack("<II", 12346, 0))
     assert got == {1: key(head(len(dense)) + bytes(body)), 2: empty, 3: empty, 4: empty, 5: key(head(2) + struct.pack("<2H", *few))}
+
+
+def test_minimal_cover_goes_on_until_nothing_is_left(spark, sf):
+    from bitloom.plans import queries_more  # noqa: F401
+    from bitloom.plans.queries import QUERIES
+
+    sets = collections.defaultdict(set)
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("source", DEFAULT.tokens("text").alias("w")).collect():
+        sets[r.source] |= bits_of(r.w)
+    left = set().union(*(bits_of(r.w) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select(DEFAULT.tokens("text").alias("w")).collect()))
+    want = []
+    while sets and (best := min(sets, key=lambda k: (-len(sets[k] & left), k))) and sets[best] & left:
+        want.append(best)
+        left -= sets[best]
+    assert len(want) > 10
+    assert [r.source for r in QUERIES["minimal_cover"](spark, sf).orderBy("round").collect()] == want
+    nulls = spark.createDataFrame([(None, 1), (None, 2), ("a", 2), ("a", 3)], "k string, bit int")
+    assert search.minimal_cover(nulls, spark.createDataFrame([(1,), (2,), (3,)], "bit int"), "k") == [None, "a"]
