@@ -1,8 +1,8 @@
 """Lexical retrieval packing: windows filled with a seed document and its nearest unused neighbours under BM25.
 
 Each task reads its documents once, in shards of about SHARD_TOKENS tokens. A shard has an inverted index of its own; a
-window's last document asks it, by the terms that tell most, for unused neighbours, which fill the window in the order
-of their scores. A document that a window cuts goes on in the next. The open window is carried from shard to shard; at a
+window's seed, the document it begins with, asks it by all of its terms for unused neighbours, which fill the window in
+the order of their scores until none are left; then the next row is placed and asks. A cut document seeds the next window. The open window is carried from shard to shard; at a
 task's end it is dealt out over sequences whose lengths are powers of two. So nothing is padded, and nothing shuffled.
 
 Defined results: a null text is empty, and an empty text has one token, the final id 0. Ties go to the earlier row;
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from bitloom.llm.common import ship, table
 from bitloom.llm.tokenizer import encoder
 
-WINDOW, SHARD_TOKENS, TERMS, NEIGHBOURS, END = 1024, 1_000_000, 8, 16, 0
+WINDOW, SHARD_TOKENS, END = 1024, 1_000_000, 0
 K1, B = 1.2, 0.75
 
 
@@ -42,25 +42,43 @@ class Index:
         self.end = self.first + df
         idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / max(1.0, float(length.mean()))))
-        self.idf, self.n = idf, n
-        self.unused = np.ones(n, bool)
-
-    def neighbours(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Unused documents that share the terms that tell most, the best first."""
+        self.n, self.unused = n, np.ones(n, bool)
+        # terms in more than an eighth of the documents have a row each: 32 bytes a posting at most
+        often = np.flatnonzero(df > n / 8)
+        self.row = np.full(len(df), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n), np.float32)
+        for row, i in enumerate(often):
+            self.dense[row, self.doc[self.first[i] : self.end[i]]] = self.weight[self.first[i] : self.end[i]]
+
+    def scores(self, terms: np.ndarray) -> np.ndarray:
+        """Of every document under all the terms; 0 for the used ones."""
         at = np.searchsorted(self.vocabulary, terms)
         at[at == len(self.vocabulary)] = 0
-        known = self.vocabulary[at] == terms if len(self.vocabulary) else np.zeros(len(terms), bool)
-        at, counts = at[known], counts[known]
-        if not len(at):
-            return at
-        gain = self.idf[at] * np.log1p(counts) * (self.end[at] - self.first[at] > 1)
-        at = at[np.argsort(-gain, kind="stable")[:TERMS]]
-        spans = [slice(self.first[i], self.end[i]) for i in at]
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
-        score *= self.unused
-        best = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
-        best = best[score[best] > 0]
-        return best[np.lexsort((best, -score[best]))]
+        at = at[self.vocabulary[at] == terms] if len(self.vocabulary) else at[:0]
+        rows = self.row[at]
+        score = self.dense[rows[rows >= 0]].sum(axis=0, dtype=np.float64)
+        at = at[rows < 0]
+        if len(at):
+            first, size = self.first[at], self.end[at] - self.first[at]
+            spans = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            score += np.bincount(self.doc[spans], self.weight[spans], self.n)
+        return score * self.unused
+
+    def ranked(self, terms: np.ndarray):
+        """The unused documents that share a term, the best first; only as many are sorted as are asked for."""
+        score, some = self.scores(terms), 16
+        left = np.flatnonzero(score > 0)
+        while len(left):
+            of = score[left]
+            least = np.partition(of, len(left) - some)[len(left) - some] if len(left) > some else 0.0
+            best, left = left[of >= least], left[of < least]
+            yield from best[np.lexsort((best, -score[best]))].tolist()
+            some *= 4
+
+    def neighbours(self, terms: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+        """All that ranked() has. A term counts once, however often (counts) the asking document has it."""
+        return np.array(list(self.ranked(terms)), np.int64)
 
 
 class Packer:
@@ -107,37 +125,34 @@ class Packer:
         self.open, self.fill = [], 0
 
 
-def pack_shard(docs: list[np.ndarray], handles: list, packer: Packer, last: np.ndarray | None = None) -> np.ndarray | None:
-    """Places all documents of a shard; last: the document placed before. The document placed last."""
-    index, next_seed = Index(docs), 0
-    queue: list[int] = []
+def pack_shard(docs: list[np.ndarray], handles: list, packer: Packer, seed: np.ndarray | None = None) -> np.ndarray | None:
+    """Places all documents of a shard; seed: the document that the open window asks. That of the window left open."""
+    index, next_row = Index(docs), 0
+    queue = None
     while True:
-        if packer.fill and not queue and last is not None:
-            queue = index.neighbours(*np.unique(last[:-1], return_counts=True)).tolist()
-        if not packer.fill:
-            queue = []  # a new window has a new seed
-        if queue:
-            k = queue.pop(0)
-        else:
-            while next_seed < len(docs) and not index.unused[next_seed]:
-                next_seed += 1
-            if next_seed == len(docs):
-                return last
-            k = next_seed
-        if index.unused[k]:
-            index.unused[k] = False
-            before = packer.sequence
-            packer.place(handles[k], docs[k])
-            last = docs[k]
-            if packer.sequence != before:
-                queue = []  # what is left of it seeds the next window
+        k = None
+        if packer.fill and seed is not None:
+            queue = queue or index.ranked(np.unique(seed[:-1]))
+            k = next(queue, None)
+        if k is None:  # a new window, or the seed has no neighbours left
+            while next_row < len(docs) and not index.unused[next_row]:
+                next_row += 1
+            if next_row == len(docs):
+                return seed
+            k = next_row
+            seed, queue = docs[k], None
+        index.unused[k] = False
+        before = packer.sequence
+        packer.place(handles[k], docs[k])
+        if packer.sequence != before:
+            seed, queue = docs[k], None  # what is left of it seeds the next window
 
 
 def _packing(at_id: int, at_text: int, window: int, names: list[str], folder: str | None):
     def run(batches):
         encode = encoder(folder=folder).ids
         packer = Packer(window, TaskContext.get().partitionId() << 32)
-        docs, handles, size, last, id_type = [], [], 0, None, pa.int64()
+        docs, handles, size, seed, id_type = [], [], 0, None, pa.int64()
 
         def out():
             cols = list(zip(*packer.rows)) or [()] * len(names)
@@ -151,11 +166,11 @@ def _packing(at_id: int, at_text: int, window: int, names: list[str], folder: st
                 handles.append(handle.as_py())
                 size += len(docs[-1])
                 if size >= SHARD_TOKENS:
-                    last = pack_shard(docs, handles, packer, last)
+                    seed = pack_shard(docs, handles, packer, seed)
                     docs, handles, size = [], [], 0
                     yield out()
         if docs:
-            pack_shard(docs, handles, packer, last)
+            pack_shard(docs, handles, packer, seed)
         packer.finish()
         yield out()
 

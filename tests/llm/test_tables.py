@@ -218,6 +218,33 @@ def test_neighbours_are_those_of_bm25():
     assert got == sorted((d for d in range(1, 5) if score(d) > 0), key=lambda d: (-score(d), d))
 
 
+def test_neighbours_by_all_terms_and_to_the_last():
+    r = random.Random(5)
+    docs = [np.array([*range(1, 21), 0], np.uint32)] + [np.array([r.randint(1, 60) for _ in range(r.randint(1, 30))] + [0], np.uint32) for _ in range(300)]
+    docs[7] = np.array([20, 99, 0], np.uint32)
+    index = packing.Index(docs)
+    index.unused[0] = False
+    mean, sets = np.mean([len(d) for d in docs]), [set(d[:-1].tolist()) for d in docs]
+    df = {t: sum(t in s for s in sets) for t in range(1, 21)}
+
+    def score(d):
+        own = docs[d][:-1].tolist()
+        return sum(np.log1p((len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * own.count(t) * 2.2 / (own.count(t) + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean)) for t in df if t in sets[d])
+
+    got = index.neighbours(*np.unique(docs[0][:-1], return_counts=True)).tolist()
+    assert set(got) == {d for d in range(1, 301) if score(d) > 0} and 7 in got and len(got) > 100
+    assert all(score(a) > score(b) - 1e-5 for a, b in zip(got, got[1:]))
+
+
+def test_a_seed_is_asked_until_the_window_is_full():
+    far = [np.array([1000 + i, 0], np.uint32) for i in range(30)]
+    near = [np.array([5, 100 + i, 0], np.uint32) for i in range(40)]  # these share 5 with the seed only
+    docs = [np.array([*range(1, 31), 0], np.uint32), *far, *near]
+    packer = packing.Packer(1024, 0)
+    packing.pack_shard(docs, list(range(len(docs))), packer)
+    assert [p[0] for p in packer.open] == [0, *range(31, 71), *range(1, 31)]
+
+
 def test_similar_documents_share_windows(spark):
     r = random.Random(1)
     topics = [["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(30)] for _ in range(8)]
