@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import zstandard
@@ -60,6 +62,7 @@ TELLING = frozenset("not non no without nc nd sa by lesser affero mit apache gnu
 TOLERANCE, SLACK, LEVEL, LEAST_GAIN = 0.1, 1.15, 19, 0.2
 _CUE = re.compile(r"licen[cs]e|copyright|redistribution and use|permission (?:is hereby|to use)|free software|public domain|creative commons|spdx", re.I)
 _WORD = re.compile(r"[A-Za-z0-9]+(?:\.[0-9]+)*")
+_SENTENCE = re.compile(r"[.!?|]\s+")
 
 
 @lru_cache(maxsize=1)
@@ -112,24 +115,26 @@ def scan(text: str | None, unknown: bool = False) -> list[tuple]:
     out, done = [], 0
     if not text or not _CUE.search(text):
         return out
+    most = int(SLACK * max(len(t[1]) for t in templates())) + 2
+    starts, sentences = ([f(m) for m in r.finditer(text)] for r, f in ((_WORD, re.Match.start), (_SENTENCE, re.Match.end)))
+    known: dict[int, tuple] = {}
     for cue in _CUE.finditer(text):
         if cue.start() < done:
             continue
         line = text.rfind("\n", 0, cue.start()) + 1
-        most = int(SLACK * max(len(t[1]) for t in templates())) + 2
-        # a block may begin at its line, or at a sentence within it
-        begins = sorted({line, *(line + m.end() for m in re.finditer(r"[.!?|]\s+", text[line : cue.start()][-400:]))} if cue.start() - line <= 400 else {line, max(line, text.rfind(". ", line, cue.start()) + 2)})
+        # a block may begin at its line, or at a sentence within it from which it reaches the cue
+        before = bisect_left(starts, cue.start()) - most - 1
+        near = max(line, starts[before] + 1 if before >= 0 else 0)
+        begins = sorted({line, *sentences[bisect_left(sentences, near) : bisect_right(sentences, cue.start())]})
         best = None
         for begin in begins:
             begin = max(begin, done)
-            places = []
-            for m in _WORD.finditer(text, begin):
-                places.append(m)
-                if len(places) == most:
-                    break
-            name, gain, found, used = scan_block([m[0].lower() for m in places])
-            if name and (best is None or len(found) < len(best[4])):
-                best = (places[0].start(), places[used - 1].end(), name, gain, found)
+            if begin not in known:
+                places = list(islice(_WORD.finditer(text, begin), most))
+                name, gain, found, used = scan_block([m[0].lower() for m in places])
+                known[begin] = (places[0].start(), places[used - 1].end(), name, gain, found) if name else None
+            if known[begin] and (best is None or len(known[begin][4]) < len(best[4])):
+                best = known[begin]
         if best:
             out.append(best)
             done = best[1]

@@ -149,6 +149,15 @@ def test_wording_decides():
     assert [f[2] for f in licenses.scan(two)] == ["MIT", "Apache-2.0"]
 
 
+@pytest.mark.parametrize("end", ["! ", "? ", " | ", ".\t", ". "])
+def test_licenses_far_into_a_line(end):
+    for before in ("It runs", "It runs on and on, from here to there. " * 40 + "It runs"):
+        for after in ("", " See also this. And that." * 20):
+            text = before + end + "Released under the MIT License." + after
+            at = text.index("Released")
+            assert [x[:3] + (x[4],) for x in licenses.scan(text)] == [(at, at + 30, "MIT", [])]
+
+
 def test_license_tables(spark):
     df = odd(spark, [*ODD, "Released under the MIT License."])
     rows = licenses.scan_licenses(df).collect()
