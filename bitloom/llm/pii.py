@@ -48,6 +48,8 @@ GENERATORS = {
     "card_loose": re.compile(r"(?<![0-9])[0-9]{4}(?:[ .-]?[0-9]{4}){2}[ .-]?[0-9]{1,7}(?![0-9])"),
     "email_spelled": re.compile(r"\b[a-z0-9._-]{2,30}+ ?(?:\(at\)|\[at\]| at ) ?[a-z0-9-]{2,30} ?(?:\(dot\)|\[dot\]| dot ) ?[a-z]{2,10}\b"),
 }
+#: Kinds that may hold neither a digit nor an at sign: they are looked for in every text.
+_LETTERS_DO = frozenset(("secret", "mac", "ipv6"))
 CUES = {
     "secret": ("token", "secret", "key", "password", "passwd", "pwd", "bearer", "credential"),
     "phone": ("tel", "phone", "call", "mobile", "fax", "handy", "móvil"),
@@ -102,8 +104,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def candidates(text: str) -> list[tuple[int, int, str]]:
     spelled, written = _AT.search(text) and _DOT.search(text), _ANY.search(text)
     found = []
-    for kind, pattern in GENERATORS.items():  # all kinds but one hold a digit or an at sign
-        if not (spelled if kind == "email_spelled" else written):
+    for kind, pattern in GENERATORS.items():
+        if kind not in _LETTERS_DO and not (spelled if kind == "email_spelled" else written):
             continue
         found += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
     return found

@@ -125,6 +125,12 @@ def test_boosted_trees_are_right_on_new_examples():
     assert y[low].mean() < 0.2 and y[high].mean() > 0.8  # calibrated
 
 
+@pytest.mark.parametrize("kind, span", [("secret", "abcdefghijKLMNOPQRST"), ("mac", "aa:bb:cc:dd:ee:ff"), ("ipv6", "fe:ab:cd:ef:aa:bb:cc:dd")])
+def test_candidates_do_not_depend_on_a_digit_elsewhere(kind, span):
+    assert (3, 3 + len(span), kind) in pii.candidates(f"an {span} here")
+    assert pii.candidates(f"an {span} here") == pii.candidates(f"an {span} here, 1")
+
+
 # --- licenses ------------------------------------------------------------------------------------------------------
 
 
