@@ -1,6 +1,8 @@
 """Near duplicates, mixing, packing, archives, neighbours and the pipeline, against plain Python and on odd tables."""
 
 import collections
+import hashlib
+import heapq
 import random
 import zlib
 
@@ -138,38 +140,77 @@ def plain_targets(sizes, weights=(3, 1, 2), share=1.5):
     return out
 
 
+def plain_mix(rows, packet):
+    """The queues of all sources, served one packet after the other: [(source, key, words)] in the order of the mix."""
+    size = lambda t: len((t or "").split())
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += size(t)
+    goals, heap, queues, queued = plain_targets(dict(sizes)), [], {}, collections.Counter()
+    for s in sizes:
+        key = lambda x: (hashlib.sha1(":".join(str(v) for v in (x[0], x[1], 17) if v is not None).encode()).hexdigest()[:15], x[0] or -1, size(x[1]))
+        own = sorted((x for x in rows if x[2] == s and size(x[1])), key=key)
+        queues[s] = collections.deque(((i, t, k), n) for k in range(2) for i, t, _ in own for n in [packet] * (size(t) // packet) + [size(t) % packet] * (size(t) % packet > 0))
+
+    def push(s):
+        if queues[s]:
+            queued[s] += queues[s][0][1]
+            heapq.heappush(heap, (queued[s] / goals[s], s is None, s or "", queues[s].popleft()))
+
+    for s in sizes:
+        push(s)
+    left, out = int(1.5 * sum(sizes.values())), []
+    while heap and left:
+        _, none, s, (key, n) = heapq.heappop(heap)
+        out.append((None if none else s, key, min(n, left)))
+        left -= out[-1][2]
+        push(out[-1][0])
+    return out
+
+
 @pytest.mark.parametrize("seed", range(3))
-def test_mix_gives_the_targets(spark, seed, monkeypatch):
+def test_mix_is_that_of_the_queues(spark, seed, monkeypatch):
     monkeypatch.setattr(mixing, "SLICE_ROWS", 7)
     r = random.Random(seed)
     rows = [(i, " ".join(words(r, r.randint(0, 30))), r.choice(["a", "b", "c", "é", None, "hot", "hot", "hot"])) for i in range(120)]
-    rows += [(500, None, "empty"), (501, "", "empty"), (502, "one", "tiny"), (None, "null id", "a"), (7, "again " * 5, "a"), (7, "again " * 5, "a"), (8, "big " * 2000, "giant")]
+    rows += [(500, None, "empty"), (501, "", "empty"), (502, "one", "tiny"), (None, "null id", "a"), (None, "another", "a"), (7, "again " * 5, "a"), (7, "again " * 5, "a"), (7, "other " * 5, "a"), (8, "big " * 2000, "giant")]
     df = table(spark, rows)
     q = mixing.queue(df)
     size = lambda t: len((t or "").split())
     sizes = collections.Counter()
     for _, t, s in rows:
         sizes[s] += size(t)
-    want, got = plain_targets(dict(sizes)), {x.source: x for x in q.collect()}
-    assert all(got[s].target == pytest.approx(t) and got[s].source_size == sizes[s] for s, t in want.items())
-    m = mixing.mix(q).collect()
-    taken = collections.Counter()
-    for x in m:
-        taken[x.source] += x.words
-        assert 0 < x.words <= x.size
-    assert all(0 <= want[s] + 1e-6 - taken[s] < 1 for s in want)
-    ordered = sorted(m, key=lambda x: x.start)
-    assert [x.start for x in ordered] == np.concatenate([[0], np.cumsum([x.words for x in ordered])[:-1]]).tolist()
-    assert [x.finish for x in ordered] == sorted(x.finish for x in m)
+    goals, got = plain_targets(dict(sizes)), {x.source: x for x in q.collect()}
+    assert all(got[s].target == pytest.approx(t) and got[s].source_size == sizes[s] for s, t in goals.items())
+    for packet in (4, 128):
+        want = plain_mix(rows, packet)
+        m = sorted(mixing.mix(q, packet=packet).collect(), key=lambda x: x.start)
+        last, each = {}, collections.Counter()  # an entry stands where its last packet does
+        for k, (s, key, n) in enumerate(want):
+            last[(s, key)], each[(s, key)] = k, each[(s, key)] + n
+        ends = sorted(last, key=last.get)
+        same = collections.Counter(rows)  # repeated rows have two entries of one name here
+        plain = [e for e in ends if same[(*e[1][:2], e[0])] == 1]
+        named = {(x.source, x.first): (x.id, x.content) for x in q.collect() if x["size"]}
+        texts = {c.h: c.text for c in df.select(F.xxhash64("text").alias("h"), "text").distinct().collect()}
+        mine = [(x.source, (i, texts[c], x["pass"]), x.words) for x in m for i, c in [named[(x.source, x.first)]]]
+        assert [e[:2] for e in mine if same[(*e[1][:2], e[0])] == 1] == plain
+        assert all(each[e[:2]] == e[2] for e in mine if same[(*e[1][:2], e[0])] == 1)
+        taken = collections.Counter()
+        for s, _, n in mine:
+            taken[s] += n
+        assert sum(taken.values()) == sum(n for *_, n in want) == int(1.5 * sum(sizes.values()))
+        assert all(abs(goals[s] - taken[s]) <= packet for s in goals)
     again = mixing.mix(mixing.queue(df)).collect()
-    key = lambda x: (x.source or "", x.start, x.words, x.id or -1)
-    assert sorted(map(key, m)) == sorted(map(key, again))
+    assert sorted((x.start, x.words, x.source or "") for x in m) == sorted((x.start, x.words, x.source or "") for x in again)
     out = mixing.mixed(df)
     assert out.schema == df.schema
-    counts = collections.Counter()
+    counts, order = collections.Counter(), []
     for x in out.collect():
         counts[x.source] += size(x.text)
+        order.append((x.source, x.doc_id, size(x.text)))
     assert counts == +taken
+    assert order == [(s, i, n) for s, (i, _, _), n in mine]  # the mix's own order
     assert mixing.mix(mixing.queue(df.filter("false"))).count() == 0 and mixing.mixed(df.filter("false")).count() == 0
 
 
