@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from bitloom.llm import html_text, licenses, pii, quality_rules, token_counts
+from bitloom.llm.html_blocks import blocks, chosen
 from bitloom.llm.suffix_array import repeated
 from bitloom.llm.tokenizer import encoder
 
@@ -239,6 +240,87 @@ def test_pages(spark):
     assert got[4] == "4 is the only page that says 4 and nothing else" and got[5] == "5 is the only page that says 5 and nothing else"
 
 
+WRONG = [
+    ("<article><p title=it's>one</p><p>two's end.</p>", "one two's end."),
+    ("<article>a<form action=/search/>no</form> b</article>", "a b"),
+    ('<article>a<div class="comments"/>reader comment</div> b</article>', "a b"),
+    ("<article><p class=ad>Buy<p>real</article>", "real"),
+    ('<article>a <b class="ad">Buy <b>this</b> now</b> b</article>', "a b"),
+    ("<article>a <svg><path d='x>'/><title>no</title></svg> b<!-- > x --> c<!--> d<!---> e</article>", "a b c d e"),
+    ("<article>1 < 2 &lt; 3 </3> <? x> x &copy &#x41;&#66</article>", "1 < 2 < 3 x \u00a9 AB"),
+    ("<article>x<table><tr><td>a</div>b<td>c</table><p>d</article><p>e", "x a b c d"),
+    ("<ARTICLE>a<SCRIPT>'</p>' </scripty> x</SCRIPT >b<p a = 'x > y' b=\"</article>\">c</ARTICLE>z", "a b c"),
+    ("<article>a <a href=x>b</a><wbr>c<br>d &nbsp; e\tf</article", "a bc d e f"),
+    ("<article><ul><li>a<ul><li>b</ul><li class=ad>c<li>d</ul><dl><dt>e<dd hidden>f<dt>g</dl></article>", "a b d e g"),
+    ("<article>a<p title='never ended>b</p></article>", "a"),
+    ("<article>a<textarea><p>no</textarea><xmp><b>&lt;</xmp><plaintext>c</article>", "a <b>&lt; c</article>"),
+    ("<p =x>a<main>b<p / >c", "b c"),
+]
+
+
+@pytest.mark.parametrize("page, text", WRONG)
+def test_markup_is_read_as_browsers_do(page, text):
+    assert chosen(page)[0] == text
+
+
+def test_pages_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for part in ("<a ", "<", "<!--", "</", "<a b='", "<x y=", "<script>", "&amp", "a<b ", "<div><p>", "<b class=ad>"):
+        one = time.perf_counter()
+        blocks(part * (400_000 // len(part)))
+        assert time.perf_counter() - one < 5, part
+    assert time.perf_counter() - start < 20
+
+
+def bare_pages(r, n):
+    """Pages without an article: a frame that two pages in three share, some shared passages, copies, and own text."""
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    line = lambda k: " ".join(word() for _ in range(k))
+    frame, passage, out = [line(14), line(4)], line(25), []
+    for i in range(n):
+        blocks_ = [line(r.randint(1, 40)) for _ in range(r.randint(1, 3))]
+        blocks_ += [frame[0], frame[1]] * (i % 3 > 0) + [f"{line(3)} {passage} {line(3)}"] * (i % 7 == 0)
+        r.shuffle(blocks_)
+        out.append(blocks_)
+    return out + [list(out[1])]
+
+
+def plain_unique(pages, least):
+    """The definition, word by word: a run or short block that another distinct page has too goes."""
+    distinct = {tuple(p) for p in pages}
+    runs, short = collections.Counter(), collections.Counter()
+    for p in distinct:
+        w = " ".join(p).split()
+        runs.update({tuple(w[k : k + least]) for k in range(len(w) - least + 1)})
+        short.update({b for b in p if len(b.split()) < least})
+    out = []
+    for p in pages:
+        w, kept, at = " ".join(p).split(), [], 0
+        gone = {j for k in range(len(w) - least + 1) if runs[tuple(w[k : k + least])] > 1 for j in range(k, k + least)}
+        for b in p:
+            n = len(b.split())
+            kept += [w[j] for j in range(at, at + n) if j not in gone] * (short[b] < 2)
+            at += n
+        out.append(" ".join(kept))
+    return out
+
+
+@pytest.mark.parametrize("size", [4_000_000, 900, 60])
+def test_unique_runs_do_not_depend_on_the_streams(spark, monkeypatch, size):
+    monkeypatch.setattr(html_text, "STREAM_BYTES", size)
+    r = random.Random(8)
+    hosts = {"a.example": bare_pages(r, 30), "b.example": bare_pages(r, 8), "": bare_pages(r, 2)}
+    rows, want = [], {}
+    for h, pages in hosts.items():
+        for p, text in zip(pages, plain_unique(pages, 10)):
+            want[len(rows)] = text
+            rows.append((len(rows), h and f"http://{h}/{len(rows)}", "".join(f"<p>{b}</p>" for b in p)))
+    got = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and any(len(want[i]) < len(" ".join(p)) for i, p in enumerate(hosts["a.example"]))
+
+
 def test_articles_of_test_pages(spark, sf):
     import html as H
 
