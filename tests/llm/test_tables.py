@@ -358,8 +358,29 @@ def test_recall_and_scores(spark, sf):
     assert hits >= 0.95 * total
 
 
+def test_a_shard_verifies_few(sf):
+    """Against brute force on Gaussian vectors, the hardest case: 4 % of a shard of 8,192 are verified."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((8192, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    shard, asked = ann.Shard(np.arange(8192), x), np.arange(0, 8192, 100)
+    hits = sum(len({v for v, _ in plain_nearest(x, shard.ids, q, 10)} & {v for v, _ in got}) for q, got in zip(asked, shard.search(asked, x[asked], 10)))
+    assert hits >= 0.95 * 10 * len(asked)
+    assert shard.asked == len(asked) and shard.verified < 0.15 * len(asked) * 8192
+
+
+def test_far_queries_and_equal_rows_end():
+    x = np.concatenate([np.ones((50, 3)), np.random.default_rng(1).standard_normal((50, 3)) * 1e-6])
+    shard = ann.Shard(np.arange(100), x)
+    for q in (np.array([1e9, 0, 0]), np.array([1.0, 1, 1]), np.array([1e-9, 1e-9, 1.0])):
+        d = np.sqrt(((x - q) ** 2).sum(axis=1))
+        assert [s for _, s in shard.search(np.array([-1]), q[None, :], 100)[0]] == sorted(d.tolist())
+        assert len(shard.search(np.array([5]), q[None, :], 200)[0]) == 99
+
+
 def test_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(ann, "SHARD_NUMBERS", 24)
+    monkeypatch.setattr(ann, "QUERY_NUMBERS", 12)
     nan, inf = float("nan"), float("inf")
     good = [(i, [float(i % 3), 1.0, 0.5 * (i // 3)]) for i in range(20)]
     odd = [(100, None), (101, [0.0, 0.0, 0.0]), (102, [nan, 1.0, 1.0]), (103, [inf, 1.0, 1.0]), (104, [None, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (105, [1.0, 2.0]), (200, []), (300, [9.0, 9.0])]
