@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +19,12 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all machines see; where it is unset (a test) a temporary one."""
+    """The folder in spark.checkpoint.dir, which all machines see; where it is unset and Spark runs on one machine, a
+    temporary one."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         app = spark.sparkContext.applicationId
         folder = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="bitloom-"))
     return folder.rstrip("/")
@@ -30,19 +34,57 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class _Scopes(threading.local):
+    """For each settled() that this thread is in, the paths that were written there."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and kept as Parquet in the shared folder: losing an executor loses nothing of it."""
     path = new_path(df.sparkSession, name)
+    for scope in _scopes.open[-1:]:
+        scope.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove(df: DataFrame) -> None:
     """Deletes the files of a written() table that nothing needs any more."""
-    spark = df.sparkSession
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def settled(make, name: str) -> DataFrame:
+    """make()'s table, written; the tables that were written on the way to it are deleted. For operators whose results
+    are read lazily from such tables."""
+    _scopes.open.append([])
+    try:
+        out = written(make(), name)
+    finally:
+        paths = _scopes.open.pop()
+    for scope in _scopes.open[-1:]:
+        scope.append(paths[-1])
+    for path in paths[:-1]:
+        _delete(out.sparkSession, path)
+    return out
+
+
+def free_name(name: str, taken) -> str:
+    """name, with as many underscores as it takes to be none of the taken ones (Spark's names know no case)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

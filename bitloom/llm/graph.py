@@ -15,12 +15,13 @@ def _least(pairs: DataFrame) -> DataFrame:
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    least = written(_least(both), "least")  # so that the join has plain exchanges on both sides and Spark can split a hub
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
+    least = written(_least(down), "least")
     links = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return links.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 

@@ -6,7 +6,9 @@ share of the size that the dictionary saves. The first of them whose exact wordi
 differences and none in a telling word (a number, "non", "lesser", ...), is the block's license.
 
 Defined results: a null or empty text has no blocks; a block of no confirmed license is reported with a null license
-where asked for (``unknown``), else not; blocks do not overlap; rows that repeat an id are scanned each.
+where asked for (``unknown``), else not; blocks do not overlap; of templates that save alike the longer, then the first
+by name is tried first. Texts and lines of any length are scanned alike, whole; rows that repeat an id are scanned each; an
+empty table gives no rows. Further columns don't pass; an id column named like a result gets an underscore.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from bitloom.llm.common import ship, table
+from bitloom.llm.common import free_name, ship, table
 
 #: The wording of well-known notices and licenses, by SPDX identifier.
 TEMPLATES = {
@@ -160,9 +162,10 @@ def _scanner(unknown: bool, names: list[str]):
 def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", unknown: bool = False) -> DataFrame:
     """(id, start, end, license, gain, n_differences, differences): one row for each block."""
     ship(docs.sparkSession)
-    names = [id, "start", "end", "license", "gain", "n_differences", "differences"]
+    names = ["start", "end", "license", "gain", "n_differences", "differences"]
+    names = [free_name(id, names), *names]
     kinds = [T.LongType(), T.LongType(), T.StringType(), T.DoubleType(), T.LongType(), T.StringType()]
-    schema = T.StructType([docs.schema[id], *(T.StructField(n, k) for n, k in zip(names[1:], kinds))])
+    schema = T.StructType([T.StructField(names[0], docs.schema[id].dataType), *(T.StructField(n, k) for n, k in zip(names[1:], kinds))])
     return docs.select(id, text).mapInArrow(_scanner(unknown, names), schema)
 
 

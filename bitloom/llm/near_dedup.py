@@ -10,9 +10,15 @@
    bucket's largest component among themselves; a block pair is pruned and confirmed within its task. So no link
    between two components is lost, whatever the bucket's size, and no task or row holds a whole bucket.
 
+Classes are numbered for the links between them, so ids may be of any type that has an order. The centre of a large
+bucket's star is copied once for every HUB links, so that no task has all of them.
+
 Defined results: null, empty and blank texts have no shingles and no links. Rows with a null id take no part: their
-component is null, and they are kept. Rows that repeat an id are one document: what
-one of them is linked with, all are. Repeated rows all get their answer. Other columns pass.
+component is null, and they are kept. In near_classes(), rows that repeat an id are one document: what one of them is
+linked with, all are, and repeated rows all get their answer. keep_one() goes by texts: of rows that repeat an id, those
+with other texts are other documents, those with the same text are one. Ties go to the smaller id. A text of any length
+is compared whole; an empty table gives no rows. near_classes() has columns of its own, keep_one() docs', whatever their
+names.
 """
 
 from __future__ import annotations
@@ -22,16 +28,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bitloom.llm import minhash as mh
 from bitloom.llm.common import ship, table, written
 from bitloom.llm.graph import components
 
-SMALL = 32
+SMALL, HUB = 32, 256
 BLOCK_ROWS, BLOCK_BYTES = 256, 2_000_000
 #: Chance of losing a pair at the threshold, for each batch of hashes.
 MISS = 1e-6
-_SIGNED = "id long, n_shingles long, hi long, lo long, sig binary"
+_SIGNED = [("content", T.LongType()), ("n_shingles", T.LongType()), ("hi", T.LongType()), ("lo", T.LongType()), ("sig", T.BinaryType())]
 
 
 def _signer(k: int):
@@ -46,8 +53,8 @@ def _signer(k: int):
                 out["lo"].append(int.from_bytes(digest[8:], "little", signed=True) if digest else None)
                 out["sig"].append(mh.signature(h).tobytes() if digest else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out["n"], pa.int64()), pa.array(out["hi"], pa.int64()), pa.array(out["lo"], pa.int64()), pa.array(out["sig"], pa.binary())],
-                ["id", "n_shingles", "hi", "lo", "sig"],
+                [batch.column(0), batch.column(2), pa.array(out["n"], pa.int64()), pa.array(out["hi"], pa.int64()), pa.array(out["lo"], pa.int64()), pa.array(out["sig"], pa.binary())],
+                ["id", *(name for name, _ in _SIGNED)],
             )
 
     return run
@@ -70,7 +77,7 @@ def _pruner(fewest: np.ndarray):
         for batch in batches:
             if batch.num_rows:
                 ok = mh.survivors(_matrix(batch.column(2)), _matrix(batch.column(3)), fewest)
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1, 4)], ["u", "v", "salt"])
 
     return run
 
@@ -132,13 +139,17 @@ def _block_comparer(k: int, percent: int, fewest: np.ndarray):
     return run
 
 
-def _confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, percent: int, fewest: np.ndarray) -> DataFrame:
-    """The links among pairs (u, v), as a written table."""
-    side = lambda df, c, name: df.select(F.col("id").alias(c), F.col(name).alias(f"{name}_{c}"))
-    cols = lambda name: pairs.join(side(sigs, "u", name), "u").join(side(sigs, "v", name), "v").select("u", "v", f"{name}_u", f"{name}_v")
-    left = written(cols("sig").mapInArrow(_pruner(fewest), "u long, v long"), "pruned")
-    both = left.join(side(texts, "u", "text"), "u").join(side(texts, "v", "text"), "v").select("u", "v", "text_u", "text_v")
-    return written(both.mapInArrow(_confirmer(k, percent), "u long, v long"), "confirmed")
+def _confirmed(pairs: DataFrame, hubs: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, percent: int, fewest: np.ndarray) -> DataFrame:
+    """The links among pairs (u, v, salt), as a written table. hubs: (id, copies) of the v that have more salts than 0."""
+
+    def both(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+        copies = F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)).cast("long") - 1)
+        u, v = rows.select(F.col("id").alias("u"), F.col(name).alias(f"{name}_u")), rows.join(hubs, "id", "left")
+        v = v.select(F.col("id").alias("v"), F.explode(copies).alias("salt"), F.col(name).alias(f"{name}_v"))
+        return pairs.join(u, "u").join(v, ["v", "salt"]).select("u", "v", f"{name}_u", f"{name}_v", "salt")
+
+    left = written(both(pairs, sigs, "sig").mapInArrow(_pruner(fewest), "u long, v long, salt long"), "pruned")
+    return written(both(left, texts, "text").mapInArrow(_confirmer(k, percent), "u long, v long"), "confirmed")
 
 
 def _left_over(large: DataFrame, labels: DataFrame, reps: DataFrame, k: int, percent: int, fewest: np.ndarray) -> DataFrame:
@@ -175,46 +186,66 @@ def _left_over(large: DataFrame, labels: DataFrame, reps: DataFrame, k: int, per
     return written(both.mapInArrow(_block_comparer(k, percent, fewest), "u long, v long"), "confirmed")
 
 
-def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row of docs."""
+def _linked(docs: DataFrame, id: str, text: str, k: int, percent: int, miss: float, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """All rows as (id, content, n_shingles, hi, lo), and of each class (hi, lo, first): first is the (id, content) of the
+    least row of its component. by_id: classes that share an id are linked."""
     ship(docs.sparkSession)
     fewest = mh.fewest_matches(percent / 100, miss)
-    plain = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = written(plain.mapInArrow(_signer(k), _SIGNED), "signed")
+    plain = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("content"))
+    schema = T.StructType([plain.schema["id"], *(T.StructField(n, t) for n, t in _SIGNED)])
+    signed = written(plain.mapInArrow(_signer(k), schema), "signed")
     real = signed.filter("id is not null and hi is not null")
-    classes = written(real.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
-    repeated = not real.groupBy("id").count().filter("count > 1").isEmpty()
-    first = real.join(classes.select("hi", "lo", F.col("rep").alias("id")), ["hi", "lo", "id"])
-    sigs = written((first.dropDuplicates(["hi", "lo", "id"]) if repeated else first).select("id", "sig"), "sigs")
+    grouped = real.groupBy("hi", "lo").agg(F.min(F.struct("id", "content")).alias("rep"))
+    classes = written(grouped.select("hi", "lo", "rep", F.monotonically_increasing_id().alias("node")), "classes")
+    reps = classes.select("hi", "lo", F.col("rep.id").alias("id"), F.col("rep.content").alias("content"), "node")
+    # one row for each class, also where rows are repeated
+    sigs = written(real.join(reps, ["hi", "lo", "id", "content"]).select(F.col("node").alias("id"), "sig").dropDuplicates(["id"]), "sigs")
+    texts = written(plain.join(reps, ["id", "content"]).select(F.col("node").alias("id"), "text").dropDuplicates(["id"]), "texts")
     keyed = sigs.mapInArrow(_bands, "key long, id long")
     # written, so that the join has plain exchanges on both sides and Spark can split a hot band
     counts = written(keyed.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1"), "counts")
     shared = written(keyed.join(counts, "key"), "shared")
-    stars = shared.filter("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
-    small = shared.filter(f"n <= {SMALL}").select("key", "id")
-    pairs = small.join(small.withColumnRenamed("id", "v"), "key").filter("id > v").select(F.col("id").alias("u"), "v")
-    reps = plain.join(sigs.select("id"), "id", "left_semi")
-    reps = reps.dropDuplicates(["id", "text"]) if repeated else reps
-    links = _confirmed(stars.unionByName(pairs).distinct(), sigs, reps, k, percent, fewest)
+    part = lambda n: F.ceil(F.col(n) / HUB)
+    stars = shared.filter("id <> least").groupBy(F.col("id").alias("u"), F.col("least").alias("v")).agg(F.max("n").alias("n"))
+    stars = stars.select("u", "v", F.pmod(F.xxhash64("u"), part("n")).alias("salt"))
+    hubs = written(counts.filter(f"n > {HUB}").groupBy(F.col("least").alias("id")).agg(F.max(part("n")).alias("copies")), "hubs")
+    small = shared.filter(f"n <= {SMALL}").select("key", "id", "least")
+    pairs = small.join(small.select("key", F.col("id").alias("v")), "key").filter("id > v and v <> least").select(F.col("id").alias("u"), "v").distinct()
+    links = _confirmed(stars.unionByName(pairs.withColumn("salt", F.lit(0).cast("long"))), hubs, sigs, texts, k, percent, fewest)
     large = shared.filter(f"n > {SMALL}").select("key", "id")
     if not large.isEmpty():
         known = components(links).withColumnRenamed("component", "label")
-        links = links.unionByName(_left_over(large, known, reps.join(sigs, "id"), k, percent, fewest))
-    if repeated:
-        own = real.join(classes, ["hi", "lo"]).filter("id <> rep").join(real.groupBy("id").count().filter("count > 1"), "id")
-        links = links.unionByName(own.select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct())
-    found = components(links)
-    named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
-    out = signed.drop("sig").join(named, ["hi", "lo"], "left")
-    component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "id"))
-    return out.select(F.col("id"), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)))
-
-
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+        links = links.unionByName(_left_over(large, known, texts.join(sigs, "id"), k, percent, fewest))
+    if by_id:
+        own = real.join(classes, ["hi", "lo"]).select("id", "node")
+        links = links.unionByName(own.join(own.groupBy("id").agg(F.min("node").alias("v")), "id").filter("node <> v").select(F.col("node").alias("u"), "v"))
+    found = components(links).withColumnRenamed("id", "node")
+    named = written(classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    first = written(named.groupBy("component").agg(F.min("rep").alias("first")), "first")
+    return signed.drop("sig"), written(named.join(first, "component").select("hi", "lo", "first"), "components")
+
+
+def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row of docs."""
+    repeated = not docs.filter(F.col(id).isNotNull()).groupBy(id).count().filter("count > 1").isEmpty()
+    rows, classes = _linked(docs, id, text, k, percent, miss, repeated)
+    out = rows.join(classes, ["hi", "lo"], "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("first.id", "id"))
+    return out.select("id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """One row of each group of near duplicates, with docs' own columns: that of the least id."""
-    kept = near_classes(docs, id, text, **how).filter("kept and id is not null").select(F.col("id").alias(id)).distinct()
-    mine = docs.join(kept, id, "left_semi").dropDuplicates([id])
-    return mine.unionByName(docs.filter(F.col(id).isNull())).select(*docs.columns)
+    rows, classes = _linked(docs, id, text, k, percent, miss, False)
+    alone = rows.filter("id is not null and hi is null").select("id", "content")
+    kept = written(classes.select("first.id", "first.content").unionByName(alone).distinct(), "kept")
+    names = {c: f"mine_{i}" for i, c in enumerate(docs.columns)}
+    mine = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col(id).alias("id"), F.xxhash64(text).alias("content"))
+    one = mine.join(kept, ["id", "content"], "left_semi")
+    if not one.groupBy("id", "content").count().filter("count > 1").isEmpty():  # of repeated rows the one of the least digest
+        one = one.withColumn("digest", F.xxhash64(*names.values()))
+        one = one.join(one.groupBy("id", "content").agg(F.min("digest").alias("digest")), ["id", "content", "digest"]).dropDuplicates(["id", "content"])
+    return one.unionByName(mine.filter("id is null"), allowMissingColumns=True).select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:

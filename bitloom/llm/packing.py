@@ -6,7 +6,8 @@ the order of their scores until none are left; then the next row is placed and a
 task's end it is dealt out over sequences whose lengths are powers of two. So nothing is padded, and nothing shuffled.
 
 Defined results: a null text is empty, and an empty text has one token, the final id 0. Ties go to the earlier row;
-repeated rows are packed each; a text of any length is cut into windows. Sequence ids are (partition, number) in one long.
+repeated rows are packed each; a text of any length is cut into windows; an empty table gives no rows. Sequence ids are
+(partition, number) in one long. Further columns don't pass; an id column named like a result gets an underscore.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from bitloom.llm.common import ship, table
+from bitloom.llm.common import free_name, ship, table
 from bitloom.llm.tokenizer import encoder
 
 WINDOW, SHARD_TOKENS, END = 1024, 1_000_000, 0
@@ -180,8 +181,9 @@ def _packing(at_id: int, at_text: int, window: int, names: list[str], folder: st
 def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, folder: str | None = None) -> DataFrame:
     """Pieces of documents in sequences: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
     ship(docs.sparkSession)
-    names = [id, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    schema = T.StructType([docs.schema[id], *(T.StructField(n, T.LongType()) for n in names[1:])])
+    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    names = [free_name(id, names), *names]
+    schema = T.StructType([T.StructField(names[0], docs.schema[id].dataType), *(T.StructField(n, T.LongType()) for n in names[1:])])
     return docs.select(id, text).mapInArrow(_packing(0, 1, window, names, folder), schema)
 
 

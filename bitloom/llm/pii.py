@@ -6,7 +6,8 @@ are fitted on TRAINING_ROWS made-up contexts of true and false spans from a fixe
 to calibrate the output and to set for each kind the least threshold of at least PRECISION there.
 
 Defined results: a null text is empty and has no spans. Spans are in code points, the end exclusive. Every row is judged
-by itself, so ties, repeated rows and empty tables are no matter; all columns pass through.
+by itself, so ties, repeated rows and empty tables are no matter; a text of any length is searched whole, in linear time.
+All columns pass through, whatever their names; the new one is renamed where it clashes.
 """
 
 from __future__ import annotations

@@ -3,8 +3,9 @@
 ``measures`` has the ratios, ``verdict`` compiles the table.  No user function, pandas or Arrow code takes part, and
 no row leaves its partition: there is no shuffle.
 
-Defined results: a null, empty or blank text has no words and fails; columns of any name pass through untouched, as
-all work happens in one struct column of a name that the table doesn't have; repeated rows get equal answers.
+Defined results: a null, empty or blank text has no words and fails; a text of any length is measured whole; columns of
+any name pass, those named like a result with an underscore added; every row is judged by itself, so repeated rows get
+equal answers, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import WHITE, let, table, words
+from bitloom.llm.common import WHITE, free_name, let, table, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -154,11 +155,17 @@ def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return let(measures(text), judged)
 
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rule", "kept")
+
+
 def score(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs' own columns but for those of these names, then the counts, base_failed, failed_rule and kept."""
-    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rule", "kept")
-    own = [docs[c] for c in docs.columns if c.lower() not in new]
-    return docs.select(*own, F.explode(F.array(verdict(docs[text], rules))).alias("verdict_")).select(*(c for c in docs.columns if c.lower() not in new), "verdict_.*")
+    """docs' columns, then the counts, base_failed, failed_rule and kept. Columns of docs that have such a name are renamed."""
+    names: list[str] = []
+    for c in docs.columns:
+        names.append(free_name(c, [*RESULTS, *names, *(d for d in docs.columns if d != c)] if c.lower() in RESULTS else []))
+    judged = free_name("verdict", names)
+    own = [docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names)]
+    return docs.select(*own, F.explode(F.array(verdict(docs[f"`{text}`"], rules))).alias(judged)).select(*(F.col(f"`{n}`") for n in names), f"{judged}.*")
 
 
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

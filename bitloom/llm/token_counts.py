@@ -2,11 +2,15 @@
 joined with the sections' intervals.
 
 A token that crosses a boundary is allocated by a rule: ``most`` gives it to the section that holds most of its
-characters (ties: the earlier one), ``first`` to that of its first character. A token that touches no section counts
-under the section null. So the counts of a document always add up to those of its whole text.
+characters, ``first`` to one that holds its first character; ties go to the section that begins first, then to the one
+that ends first. A token that no section gets counts under the section null. So the counts of a document always add up
+to those of its whole text.
 
 Defined results: a null text is empty; a document without sections or tokens gives no rows; sections are half-open, in
-code points, must not overlap and may leave gaps; rows that repeat an id are counted each.
+code points, and may leave gaps and overlap. Null sections are none; a section that is null, has a null bound or ends where
+it begins or before holds nothing and has its row, with 0 tokens. Sections are numbered in the order of their bounds, null
+ones last. Texts of any length are encoded whole; rows that repeat an id are counted each; an empty table gives no rows.
+Further columns don't pass; an id column named like a result gets an underscore.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from bitloom.llm.common import ship, table
+from bitloom.llm.common import free_name, ship, table
 from bitloom.llm.tokenizer import Encoder, encoder
 
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
@@ -44,7 +48,11 @@ def spans(text: str, encode: Encoder) -> tuple[np.ndarray, np.ndarray]:
 
 
 def allocate(starts: np.ndarray, ends: np.ndarray, sections: list[tuple[int, int]], rule: str = "most") -> tuple[np.ndarray, int]:
-    """Tokens of each section, and those of none."""
+    """Tokens of each section, and those of none; sections in the order of their bounds."""
+    if rule not in ("most", "first"):
+        raise ValueError(f"no such rule: {rule}")
+    if any(e <= s for s, e in sections) or any(b[0] < a[1] for a, b in zip(sections, sections[1:])):
+        return _allocate_any(starts, ends, sections, rule)
     n = len(sections)
     low, high = (np.array(x, np.int64) for x in zip(*sections)) if n else (np.empty(0, np.int64),) * 2
     first, last = np.searchsorted(high, starts, "right"), np.searchsorted(low, ends, "left") - 1
@@ -53,15 +61,38 @@ def allocate(starts: np.ndarray, ends: np.ndarray, sections: list[tuple[int, int
         for i in np.flatnonzero(first < last):  # the few that cross
             held = np.minimum(high[first[i] : last[i] + 1], ends[i]) - np.maximum(low[first[i] : last[i] + 1], starts[i])
             owner[i] = first[i] + int(held.argmax())
-    elif rule == "first":
+    else:
         inside = owner < n
         owner[inside] = np.where(low[owner[inside]] <= starts[inside], owner[inside], n)
-    else:
-        raise ValueError(f"no such rule: {rule}")
     counts = np.bincount(owner, minlength=n + 1)
     return counts[:n], int(counts[n])
 
 
+def _allocate_any(starts: np.ndarray, ends: np.ndarray, sections: list[tuple[int, int]], rule: str) -> tuple[np.ndarray, int]:
+    """The same for sections that overlap or are empty: each claims the tokens that it touches, where it holds more."""
+    n = len(sections)
+    owner, held = np.full(len(starts), n), np.zeros(len(starts), np.int64)
+    for i, (low, high) in enumerate(sections):
+        if high <= low:
+            continue
+        part = slice(int(np.searchsorted(ends, low, "right")), int(np.searchsorted(starts, high, "left")))
+        if rule == "most":
+            mine = np.minimum(high, ends[part]) - np.maximum(low, starts[part])
+        else:
+            mine = ((low <= starts[part]) & (starts[part] < high)).astype(np.int64)
+        better = mine > held[part]
+        owner[part][better] = i
+        held[part][better] = mine[better]
+    counts = np.bincount(owner, minlength=n + 1)
+    return counts[:n], int(counts[n])
+
+
+def _bounds(sections: list | None) -> list[tuple]:
+    """(start, end) of given sections in order; null ones last."""
+    given = [(None, None) if s is None else (s["start"], s["end"]) for s in sections or []]
+    return sorted(given, key=lambda b: (None in b, b[0] is None, b[0] or 0, b[1] is None, b[1] or 0))
+
+
 def _counter(sectioned: bool, rule: str, folder: str | None, names: list[str]):
     def run(batches):
         encode = encoder(folder=folder)
@@ -70,8 +101,9 @@ def _counter(sectioned: bool, rule: str, folder: str | None, names: list[str]):
             given = batch.column(2).to_pylist() if sectioned else [None] * batch.num_rows
             for id, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), given):
                 text = text or ""
-                own = sorted((s["start"], s["end"]) for s in own or []) if sectioned else line_sections(text)
-                counts, none = allocate(*spans(text, encode), own, rule) if text else (np.zeros(len(own), int), 0)
+                own = _bounds(own) if sectioned else line_sections(text)
+                real = [(0, 0) if None in b else b for b in own] if sectioned else own
+                counts, none = allocate(*spans(text, encode), real, rule) if text else (np.zeros(len(own), int), 0)
                 rows = [(id, k, s, e, int(c)) for k, ((s, e), c) in enumerate(zip(own, counts))] + [(id, None, None, None, none)] * (none > 0)
                 for column, values in zip(out, zip(*rows)):
                     column += values
@@ -83,8 +115,9 @@ def _counter(sectioned: bool, rule: str, folder: str | None, names: list[str]):
 def count_tokens(docs: DataFrame, id: str = "doc_id", text: str = "text", sections: str | None = None, rule: str = "most", folder: str | None = None) -> DataFrame:
     """(id, section, start, end, n_tokens). sections: a column of arrays of (start, end); without it, the text's lines."""
     ship(docs.sparkSession)
-    names = [id, "section", "start", "end", "n_tokens"]
-    schema = T.StructType([docs.schema[id], *(T.StructField(n, T.LongType()) for n in names[1:])])
+    names = ["section", "start", "end", "n_tokens"]
+    names = [free_name(id, names), *names]
+    schema = T.StructType([T.StructField(names[0], docs.schema[id].dataType), *(T.StructField(n, T.LongType()) for n in names[1:])])
     return docs.select(id, text, *([sections] if sections else [])).mapInArrow(_counter(bool(sections), rule, folder, names), schema)
 
 

@@ -7,8 +7,14 @@ record is a frame of its own, so that any one can be read alone.
 Of records with equal payloads that with the largest id is a response, the others are revisits that name it. The
 payloads' digests alone are grouped, before the shuffle; the join back lets Spark split a hot digest.
 
+A response holds its page as the body of an HTTP response with a head of two lines, as readers of archives expect; the
+payload, its length and its digest are those of the page. Archives are written and read by pyarrow's file systems (local
+folders, hdfs, viewfs, gs, s3; s3a and s3n are read as s3): Spark has no sink of plain files.
+
 Defined results: a null payload is empty; rows that repeat an id are written each; a null id is no response's name, and
-such rows with a payload of their own are responses. An empty table writes nothing.
+such rows with a payload of their own are responses. Ids may be of any type that has an order; they come back as text.
+Records of any length are written whole; an empty table writes nothing. Further columns don't pass, so their names are
+free.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from urllib.parse import urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 import zstandard
@@ -27,28 +33,31 @@ from bitloom.llm.common import new_path, ship, table, written
 
 ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES, LEVEL, MOST_TASKS = 16_000_000, 65_536, 2_000_000, 3, 10_000
 MAGIC = 0x184D2A5D
-DATE = "2020-01-01T00:00:00Z"
+DATE, _HTTP = "2020-01-01T00:00:00Z", "application/http; msgtype=response"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def record(id: int | None, url: str | None, payload: bytes, refers: int | None, digest: str) -> bytes:
+def record(id, url: str | None, payload: bytes, refers, digest: str) -> bytes:
     """One WARC/1.1 record. A revisit (refers is another record's id) has no block; its length and digest are the payload's."""
+    kind = "text/html; charset=utf-8"
     name = lambda i: f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'page:{i}')}>"
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {name(id)}", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {''.join((url or '').split())}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: text/html; charset=utf-8",
-        f"Payload-Length: {len(payload)}",
+        f"WARC-Target-URI: {''.join((url or '').split())}", f"WARC-Payload-Digest: sha1:{digest}", f"Payload-Length: {len(payload)}",
     ]
     if id is not None:
-        head.append(f"Page-ID: {id}")
+        head.append(f"Page-ID: {quote(str(id))}")
     if refers is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers)}", f"Refers-To-Page-ID: {refers}"]
-        payload = b""
-    return "\r\n".join([*head, f"Content-Length: {len(payload)}", "", ""]).encode() + payload + b"\r\n\r\n"
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers)}", f"Refers-To-Page-ID: {quote(str(refers))}"]
+        block = b""
+    else:
+        head.append(f"Content-Type: {_HTTP}")
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: {kind}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+    return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (names in lower case) and block of one record."""
+    """Headers (names in lower case) and payload of one record; ids are decoded."""
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -57,14 +66,19 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     n = int(fields["content-length"])
     if rest[n:] != b"\r\n\r\n":
         raise ValueError("a record of another length than it says")
-    return fields, rest[:n]
+    fields |= {k: unquote(fields[k]) for k in ("page-id", "refers-to-page-id") if k in fields}
+    block = rest[:n]
+    return fields, block.partition(b"\r\n\r\n")[2] if fields.get("content-type") == _HTTP else block
 
 
 def dictionary(records: list[bytes]) -> bytes:
-    """Built from about SAMPLE_BYTES of records, every so many; b"" where they are too few to build one."""
+    """Built from SAMPLE_BYTES of records at most, whole ones, every so many; b"" where they are too few to build one."""
     total = sum(map(len, records))
-    step = max(1, -(-total // SAMPLE_BYTES))
-    sample = [r[:32_768] for r in records[::step]]
+    step, sample, left = max(1, -(-total // SAMPLE_BYTES)), [], SAMPLE_BYTES
+    for r in records[::step]:
+        if len(r) <= left:
+            sample.append(r)
+            left -= len(r)
     if len(sample) < 8:
         return b""
     try:
@@ -102,7 +116,10 @@ def records(data: bytes):
 def _filesystem(path: str):
     from pyarrow import fs
 
-    return (fs.LocalFileSystem(), urlsplit(path).path) if urlsplit(path).scheme in ("", "file") else fs.FileSystem.from_uri(path)
+    scheme, _, rest = path.partition("://")
+    if urlsplit(path).scheme in ("", "file"):
+        return fs.LocalFileSystem(), urlsplit(path).path
+    return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else path)
 
 
 def _writer(folder: str):
@@ -138,7 +155,7 @@ def base32(hexadecimal: str) -> str:
 
 def plan(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(id, url, html, sha1, refers): refers is the response's id for a revisit, null for a response."""
-    rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
+    rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
     rows = rows.withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
     # only digests that recur, written: usually few, so that the pages themselves need no shuffle; if many, a hot one can be split
     last = written(rows.groupBy("sha1").agg(F.max("id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n"), "recurring")
@@ -156,12 +173,12 @@ def write(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
     return written(plan(pages, **columns).mapInArrow(_writer(folder), "path string, records long, bytes long"), "manifest")
 
 
-_READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+_READ = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
 
 
 def _reader(payloads: bool):
     def run(batches):
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())])
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 system, at = _filesystem(path)
@@ -173,8 +190,7 @@ def _reader(payloads: bool):
                     kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
                     if kind == "response" and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
                         raise ValueError(f"{path}: a payload of another digest than its record says")
-                    page, refers = head.get("page-id"), head.get("refers-to-page-id")
-                    rows.append((page and int(page), head["warc-target-uri"], int(head["payload-length"]), digest, kind, refers and int(refers), block if payloads else None))
+                    rows.append((head.get("page-id"), head["warc-target-uri"], int(head["payload-length"]), digest, kind, head.get("refers-to-page-id"), block if payloads and kind == "response" else None))
                     if len(rows) == 1000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
                         rows = []
@@ -192,7 +208,8 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
-    return read(write(table(spark, sf_dir, "pages"), new_path(spark, "warc")), payloads=False).drop("payload")
+    found = read(write(table(spark, sf_dir, "pages"), new_path(spark, "warc")), payloads=False).drop("payload")
+    return found.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def _base32_sql(hexadecimal: str) -> str:

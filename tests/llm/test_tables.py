@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import heapq
+import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -11,9 +13,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bitloom.llm import ann, graph, minhash, mixing, near_dedup, packing, registry, warc
-from bitloom.llm.common import new_path
+from bitloom.llm import ann, graph, minhash, mixing, near_dedup, packing, pii, registry, warc
+from bitloom.llm.common import new_path, shared_folder, written
 from bitloom.llm.tokenizer import encoder
+from plain import plain_spans
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component string, size string, words string"
 
@@ -100,6 +103,7 @@ def test_near_classes(spark, monkeypatch, small):
     """With small = 2 every larger bucket goes by its least id and then by blocks."""
     monkeypatch.setattr(near_dedup, "SMALL", small)
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(near_dedup, "HUB", 3)
     r = random.Random(7)
     texts = family(r, 12, 4) + family(r, 25, 8) + [" ".join(words(r, 60)) for _ in range(10)] + family(r, 6, 1) + ["same text here"] * 3 + ["short"] * 2 + ["", " \n"]
     r.shuffle(texts)
@@ -110,6 +114,8 @@ def test_near_classes(spark, monkeypatch, small):
         assert {x.id: x.component_id for x in got if x.id not in (None, 500)} == plain_components(rows, k)
         assert len(got) == df.count() and all(x.kept == (x.id is None or x.id == x.component_id) for x in got)
         assert {x.id: x.n_shingles for x in got if x.id is not None} == {i: len(minhash.shingles(t, k)) for i, t in rows} | {500: 0}
+    named = near_dedup.near_classes(df.withColumn("doc_id", F.concat(F.lit("é "), F.lpad(F.col("doc_id").cast("string"), 5, "0"))), k=5)  # ids of another type
+    assert {(x.id, x.component_id) for x in named.collect() if x.id} == {tuple(f"é {i:05}" for i in p) for p in [*plain_components(rows, 5).items(), (500, 500)]}
     kept = near_dedup.keep_one(df, k=5)
     assert kept.schema == df.schema
     assert sorted(x.doc_id for x in kept.collect() if x.doc_id is not None) == sorted({*plain_components(rows, 5).values(), 500})
@@ -121,6 +127,8 @@ def test_repeated_ids_are_one_document(spark):
     df = table(spark, [(1, a, "s"), (2, a, "s"), (2, b, "s"), (3, b, "s"), (3, b, "s")])
     got = near_dedup.near_classes(df).collect()
     assert len(got) == 5 and {x.component_id for x in got} == {1}
+    kept = near_dedup.keep_one(df.withColumn("size", F.monotonically_increasing_id().cast("string")))
+    assert sorted((x.doc_id, x.text) for x in kept.collect()) == [(1, a), (2, b)]  # no text is lost with its id
 
 
 # --- mixing --------------------------------------------------------------------------------------------------------
@@ -327,7 +335,8 @@ def test_archives(spark, monkeypatch):
         h = h or ""
         main = last[h] < 0 or i == last[h]
         want[(i, len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "response" if main else "revisit", None if main else last[h], h.encode() if main else None)] += 1
-    assert want == collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.record_type == "revisit" else bytes(r.payload)) for r in got)
+    number = lambda x: x if x is None else int(x)
+    assert want == collections.Counter((number(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, number(r.refers_to), None if r.record_type == "revisit" else bytes(r.payload)) for r in got)
     assert warc.read(warc.write(df.filter("false"), new_path(spark, "warc"))).count() == 0
 
 
@@ -404,6 +413,13 @@ def test_many_equal_vectors(spark):
     assert [r.vec_id for r in got if r.query_id == 0] == list(range(1, 11))
 
 
+def test_archives_of_other_ids_and_long_records(spark):
+    long = "<p>" + "line %d " * 10 + "</p>"
+    rows = [("a b\r\né", "u", "one"), ("b", "u", "one"), ("c", "u", (long % tuple(range(10))) * 60_000), (None, "u", "two")]
+    got = warc.read(warc.write(spark.createDataFrame(rows, "page_id string, url string, html string"), new_path(spark, "warc"))).collect()
+    assert sorted(((r.page_id or "", r.refers_to, r.payload and bytes(r.payload).decode()) for r in got), key=str) == sorted([("a b\r\né", "b", None), ("b", None, "one"), ("c", None, rows[2][2]), ("", None, "two")], key=str)
+
+
 # --- all of it -----------------------------------------------------------------------------------------------------
 
 
@@ -423,7 +439,28 @@ def test_pipeline_stage_by_stage(spark, sf):
     assert kept.schema == one.schema == clean.schema == mixed.schema == docs.schema
     rows = [(r.doc_id, r.text) for r in kept.collect()]
     assert {r.doc_id for r in one.collect()} == set(plain_components(rows, 5).values())
-    assert not any("@" in (r.text or "") and "example" in r.text for r in clean.collect()) and clean.count() == one.count()
-    out = stages["packed"](spark, mixed, sf)
+    clean = written(clean, "clean")
+    texts, plain = {r.doc_id: r.text for r in one.collect()}, [r for r in clean.collect()]
+    assert len(plain) == len(texts) and sum(r.text != texts[r.doc_id] for r in plain) > 3
+    for r in plain:
+        base = [{"kind": k, "start": s, "end": e} for s, e, k in plain_spans(texts[r.doc_id])]
+        if not re.search(r"\[(%s)\]" % "|".join(k.upper() for k in pii.GENERATORS), r.text):  # only base kinds
+            assert r.text == pii.redacted(texts[r.doc_id], base)
+        assert not plain_spans(r.text)
+    mixed = written(stages["mixture"](spark, clean, sf), "mixed")
+    rows, want = {r.doc_id: r for r in plain}, collections.Counter()
+    for _, (i, _, k), n in plain_mix([(r.doc_id, r.text, r.source) for r in plain], mixing.PACKET):
+        want[(i, k)] += n
+    cut = collections.Counter((i, " ".join(rows[i].text.split()[:n]) if n < len(rows[i].text.split()) else rows[i].text) for (i, _), n in want.items())
+    assert collections.Counter((r.doc_id, r.text) for r in mixed.collect()) == cut
+    out = written(stages["packed"](spark, mixed, sf), "out")
+    encode = encoder().slow.encode
+    tokens = collections.Counter()
+    for (i, t), n in cut.items():
+        tokens[(i, len(encode(t, add_special_tokens=False).ids) + 1)] += n
+    assert collections.Counter((p.doc_id, p.doc_tokens) for p in out.collect() if p.start == 0) == tokens
     assert out.agg(F.sum(F.when(F.col("start") == 0, F.col("doc_tokens")))).first()[0] == out.agg(F.sum("length")).first()[0]
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
     assert corpus_pipeline.run(spark, sf).agg(F.sum("length")).first()[0] == out.agg(F.sum("length")).first()[0]
+    assert len(set(os.listdir(folder)) - before) == 1  # of all tables only the result is left

@@ -14,6 +14,7 @@ from bitloom.llm import html_text, licenses, pii, quality_rules, token_counts
 from bitloom.llm.html_blocks import blocks, chosen
 from bitloom.llm.suffix_array import repeated
 from bitloom.llm.tokenizer import encoder
+from plain import plain_spans
 
 ODD = [None, "", " \n\t", "a", "x " * 3000, "Ünï ködé 😀 b", "one two three four five\n" * 3, "a\rb\x0bc", "the end. " * 30]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, spans string, n_words string"
@@ -62,16 +63,16 @@ def test_quality_keeps_columns_and_labels(spark, sf):
     assert all(r.base_failed for r in rows if r.quality == 1 and not r.kept) and sum(not r.kept for r in bad) >= 0.9 * len(bad)
 
 
-# --- personal data -------------------------------------------------------------------------------------------------
+def test_quality_renames_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", "mine", 2, "v", "w")], "doc_id long, text string, kept string, N_words int, verdict_ string, kept_ string")
+    out = quality_rules.score(df)
+    assert out.columns == ["doc_id", "text", "kept__", "N_words_", "verdict_", "kept_", *quality_rules.RESULTS]
+    assert out.select("kept__", "N_words_", "verdict_", "kept_", "n_words", "kept").first()[:] == ("mine", 2, "v", "w", 3, False)
+    long = spark.createDataFrame([("word " * 300_000,)], "text string")
+    assert quality_rules.score(long).first().n_words == 300_000
 
 
-def plain_spans(text):
-    out = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    out += [(m.start(), m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
-    digits = lambda m: re.sub("[^0-9]", "", m[0])
-    out += [(m.start(), m.end(), "card") for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
-    out += [(m.start(), m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(digits(m)) <= 15]
-    return sorted(out, key=lambda x: (x[0], pii.BASE_KINDS.index(x[2])))
+# --- personal data -------------------------------------------------------------------------------------------------
 
 
 def test_base_spans_are_those_of_the_patterns():
@@ -170,6 +171,45 @@ def test_license_tables(spark):
     rows = licenses.scan_licenses(df).collect()
     assert [(r.doc_id, r.license, r.n_differences) for r in rows] == [(len(ODD), "MIT", 0)]
     assert licenses.scan_licenses(df.filter("false")).count() == 0
+    assert licenses.scan_licenses(df.withColumnRenamed("doc_id", "end"), id="end").columns[:3] == ["end_", "start", "end"]
+
+
+@pytest.mark.parametrize("far", [100, 399, 401, 10_000])
+@pytest.mark.parametrize("end", ["! ", " | ", ".\n"])
+def test_licenses_at_all_line_lengths(far, end):
+    before = ("word " * far)[: far - len(end)] + end
+    at = len(before)
+    assert [x[:3] for x in licenses.scan(before + "Licensed under the MIT License.")] == [(at, at + 30, "MIT")]
+
+
+def plain_scan(text):
+    """Every place where a template's exact words begin, the longest template first."""
+    words = [(m.start(), m.end(), m[0].lower()) for m in licenses._WORD.finditer(text)]
+    flat, out = [w for *_, w in words], []
+    for name, template, _ in licenses.templates():
+        for i in range(len(flat) - len(template) + 1):
+            if flat[i : i + len(template)] == template:
+                out.append((words[i][0], words[i + len(template) - 1][1], name))
+    return out
+
+
+def test_licenses_of_the_corpus(spark, sf):
+    """Over a whole table: every exact wording, found by trying all starts, lies in a block of its license, and every
+    block has the words of a template but for the differences that it reports."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = collections.defaultdict(list)
+    for r in licenses.op5_licenses(spark, sf).collect():
+        got[r.doc_id].append(r)
+    exact = 0
+    for i, text in docs.items():
+        for s, e, name in plain_scan(text):
+            exact += 1
+            assert any(r.start <= s and e <= r.end and r.license == name for r in got[i]), (i, s, name)
+    for i, rows in got.items():
+        for r in rows:
+            words = [m[0].lower() for m in licenses._WORD.finditer(docs[i][r.start : r.end])]
+            assert any(n == r.license and " ".join(licenses.differences(words, t)[0]) == r.differences for n, t, _ in licenses.templates())
+    assert exact and exact == sum(r.n_differences == 0 for rows in got.values() for r in rows)
 
 
 # --- token counts --------------------------------------------------------------------------------------------------
@@ -207,6 +247,61 @@ def test_counts_add_up(spark):
     assert sum(r.n_tokens for r in rows) == want[8] and {r.section for r in rows} == {0, None}
 
 
+def plain_allocation(spans, sections, rule):
+    """Each token by itself: the section that holds most of it, or its first character."""
+    counts = collections.Counter()
+    for s, e in spans:
+        held = [min(e, high) - max(s, low) if rule == "most" else low <= s < high for low, high in sections]
+        held = [h if high > low else 0 for h, (low, high) in zip(held, sections)]
+        counts[held.index(max(held)) if max(held, default=0) > 0 else None] += 1
+    return counts
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 5), max_size=20), st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=6), st.booleans(), st.sampled_from(["most", "first"]))
+def test_allocation_against_plain_python(lengths, sections, apart, rule):
+    import numpy as np
+
+    ends = np.cumsum(lengths, dtype=np.int64)
+    starts = ends - np.array(lengths, np.int64)
+    if apart:  # no two overlap
+        points = sorted({p for s in sections for p in s})
+        sections = list(zip(points[::2], points[1::2]))
+    sections = sorted(sections)
+    counts, none = token_counts.allocate(starts, ends, sections, rule)
+    want = plain_allocation(list(zip(starts.tolist(), ends.tolist())), sections, rule)
+    assert [*counts.tolist(), none] == [want[i] for i in [*range(len(sections)), None]]
+
+
+def test_odd_sections(spark):
+    bounds = [None, (0, 6), (2, 11), (None, 3), (4, None), (5, 5), (9, 2)]
+    rows = [(1, "a b c d e f", bounds), (2, "a b", None), (3, None, bounds), (None, "a b", [(0, 1)]), (5, "a b", [])]
+    df = spark.createDataFrame(rows, "start long, text string, sections array<struct<start: long, end: long>>")
+    got = collections.defaultdict(list)
+    for r in token_counts.count_tokens(df, id="start", sections="sections").collect():
+        got[r.start_].append((r.section, r.start, r.end, r.n_tokens))
+    # tokens: a, " b", " c", ...: of " c" both hold all, so it goes to the section that begins first; of " d" the second has more
+    assert sorted(got[1], key=lambda x: x[0]) == [(0, 0, 6, 3), (1, 2, 11, 3), (2, 5, 5, 0), (3, 9, 2, 0), (4, 4, None, 0), (5, None, 3, 0), (6, None, None, 0)]
+    assert got[2] == [(None, None, None, 2)] and got[5] == [(None, None, None, 2)] and [x[3] for x in got[3]] == [0] * 7 and sorted(got[None], key=str) == [(0, 0, 1, 1), (None, None, None, 1)]
+
+
+def test_lines_against_every_token(spark, sf):
+    """Each line's tokens counted one by one from the offsets of tokenizers, over a whole table."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = collections.defaultdict(dict)
+    for r in token_counts.op2_token_counts(spark, sf).collect():
+        got[r.doc_id][(r.start, r.end)] = r.n_tokens
+    slow = encoder().slow
+    for i, text in docs.items():
+        lines = [m.span() for m in re.finditer(r"[^\n]*\n|[^\n]+", text)]
+        owner = [k for k, (s, e) in enumerate(lines) for _ in range(s, e)]  # of each character
+        counts = collections.Counter()
+        for s, e in slow.encode(text, add_special_tokens=False).offsets:
+            held = collections.Counter(owner[s:e])
+            counts[min(held, key=lambda k: (-held[k], k))] += 1
+        assert got[i] == {span: counts[k] for k, span in enumerate(lines)}
+
+
 # --- pages ---------------------------------------------------------------------------------------------------------
 
 
