@@ -1,14 +1,19 @@
-"""A corpus in five stages, each by one operator: quality rules, near-duplicates, personal data, mixing, packing."""
+"""A corpus in five stages, each by one operator: quality rules, near-duplicates, personal data, mixing, packing.
+
+Defined results of all stages: columns of documents in other orders and further columns pass, up to packing, which has
+its own. Null and empty texts fail the rules; rows that repeat an id with another text are documents of their own, rows that
+repeat both are one from the second stage on; texts of any length are read whole; ties go to the smaller id; an empty
+table stays empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from bitloom.llm import mixing, near_dedup, packing, pii, quality_rules
-from bitloom.llm.common import table, written
+from bitloom.llm.common import remove, settled, table
 
-#: SQL can't express the stages: signatures, trees, the shuffled queues, BM25 and the tokenizer. tests/llm hold run()
-#: against the operators' brute-force versions, stage by stage.
+#: SQL can't express the stages: signatures, trees, BM25 and the tokenizer. tests/llm hold each stage against plain Python.
 ORACLE_SQL = None
 
 
@@ -41,7 +46,10 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("private"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's table. Every stage's is written and read again, and deleted once the next one is there."""
+    given = docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, settled(lambda: stage(spark, docs, sf_dir), name)
+        if before is not given:
+            remove(before)
     return docs
