@@ -128,6 +128,12 @@ def route(nodes: DataFrame, request: DataFrame, k: int, node: str = "node") -> D
     return algebra.measured(pairs).filter("tau > 0").select(node, "tau").orderBy(F.desc("tau"), node).limit(k)
 
 
+def novelty(nodes: DataFrame, request: DataFrame, node: str = "node") -> DataFrame:
+    """(node, rho) of all nodes: what each has beyond the one request (bm), against the request's estimate."""
+    pairs = nodes.select(node, F.col("bm").alias("bm_a")).join(F.broadcast(request.limit(1).select(F.col("bm").alias("bm_b"))))
+    return algebra.measured(pairs).select(node, "rho")
+
+
 def coverage(responses: DataFrame, request: DataFrame) -> DataFrame:
     """(responses, coverage): what the OR of the partial responses (bm) has of the one request's (bm) estimate; 1 of nothing."""
     merged = responses.agg(F.count("bm").alias("responses"), F.bitmap_or_agg("bm").alias("bm"))

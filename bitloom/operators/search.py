@@ -1,37 +1,87 @@
-"""Search over sketches: inclusion by one join on bits, precedents, gates, covers, order, embeddings, agents."""
+"""Search over sketches: inclusion of a stated set of queries in all sets, precedents, gates, covers, order, embeddings, agents."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from bitloom.consts import REG_BITS, TOTAL_BITS
-from bitloom.functions.hashing import token_bits, tz_of
+from bitloom.functions.hashing import token_bits
 from bitloom.operators import sketch
 
+#: Queries of inclusion() that a task holds at once (32 MiB of flags), and numbers of a block of pairs.
+QUERIES, PAIR_CELLS = 1024, 1 << 22
 #: Rows of a pair of blocks whose dot products a task makes at once.
 QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
 
 
-def _counts(rows: DataFrame, *keys: str) -> DataFrame:
-    """(keys, n): the 32 counts of each set of (keys, bit), in one aggregation."""
-    level = tz_of(F.col("bit"))
-    each = rows.groupBy(*keys).agg(*(F.count_if(level == i).cast("int").alias(f"n{i}") for i in range(REG_BITS)))
-    return each.select(*keys, F.array(*(F.col(f"n{i}") for i in range(REG_BITS))).alias("n"))
+def _overlaps(queries: np.ndarray, ids: list, kind: pa.DataType, least: float):
+    """Rows of all pairs of a query and a set that share a bit, for Arrow batches of sets (key, bits). queries: (n, 32768)."""
+    width = len(queries)
+    columns = np.ascontiguousarray(queries.T)
+    own = sketch.cardinality_of(queries.reshape(width, -1, REG_BITS).sum(axis=1))
+    names = pa.array(ids, kind)
+
+    def levels(at: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """(n, queries, 32): how many bits of each level each set shares with each query."""
+        out = np.zeros((n, REG_BITS, width), np.int32)
+        if len(at):
+            place = owner * REG_BITS + (at & (REG_BITS - 1))
+            order = np.argsort(place, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(place[order]) > 0]))
+            out.reshape(-1, width)[place[order][first]] = np.add.reduceat(columns[at[order]], first, axis=0, dtype=np.int32)
+        return out.transpose(0, 2, 1)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            starts = np.concatenate([[0], np.cumsum(np.nan_to_num(np.asarray(pc.list_value_length(lists), np.float64)).astype(np.int64))])
+            bits = np.asarray(lists.flatten(), np.int64)
+            low = 0
+            while low < batch.num_rows:  # some sets at a time: about 16 MB of counts and of shared bits
+                high = int(np.searchsorted(starts, starts[low] + PAIR_CELLS // width, "right"))
+                high = max(low + 1, min(high - 1, low + max(1, PAIR_CELLS // (width * REG_BITS)), batch.num_rows))
+                owner = np.repeat(np.arange(high - low), np.diff(starts[low : high + 1]))
+                n = levels(bits[starts[low] : starts[high]], owner, high - low)
+                shared = n.sum(axis=2)
+                i, j = np.nonzero(shared)
+                both = sketch.cardinality_of(n[i, j])
+                tau = np.where(own[j] == 0, 1.0, np.minimum(both / np.where(own[j] == 0, 1.0, own[j]), 1.0))
+                keep = tau > least
+                i, j, tau = i[keep], j[keep], tau[keep]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), batch.column(0).take(pa.array(low + i)), pa.array(shared[i, j].astype(np.int64)), pa.array(tau)], ["query", "key", "shared", "tau"])
+                low = high
+
+    return run
 
 
-def inclusion(queries: DataFrame, sets: DataFrame, query: str, key: str) -> DataFrame:
-    """(query, key, shared, tau) of every query (query, bit) and set (key, bit) that share a bit: how much of the query the
-    set holds, by the estimates. The queries' bits are few; one join on bit serves all of them."""
-    own = _counts(queries, query).select(query, sketch.cardinality(F.col("n")).alias("card_q"))
-    both = _counts(sets.join(queries, "bit"), query, key)
-    shared = F.aggregate("n", F.lit(0), lambda a, x: a + x).cast("long")
-    out = both.select(query, key, shared.alias("shared"), sketch.cardinality(F.col("n")).alias("card_and")).join(own, query)
-    tau = F.when(F.col("card_q") == 0, F.lit(1.0)).otherwise(F.least(F.try_divide("card_and", "card_q"), F.lit(1.0)))
-    return out.select(query, key, "shared", tau.alias("tau"))
+def inclusion(queries: DataFrame, sets: DataFrame, query: str, key: str, least: float = -1.0) -> DataFrame:
+    """(query, key, shared, tau) of every query (query, bits) and set (key, bits) that share a bit, of a tau above least: how
+    much of the query the set holds, by the estimates.
+
+    A stated set of queries against all sets: the queries' bits go to the tasks in blocks of QUERIES, 32 KiB each, and a set
+    is compared where its row is. Nothing is shuffled; each block is one more pass over the sets."""
+    spark, kind = sets.sparkSession, queries.schema[query].dataType
+    schema = T.StructType([T.StructField("query", kind), T.StructField("key", sets.schema[key].dataType), T.StructField("shared", T.LongType()), T.StructField("tau", T.DoubleType())])
+    own, out = queries.select(F.col(query).alias("query"), "bits").persist(), spark.createDataFrame([], schema)
+    blocks = -(-own.count() // QUERIES)
+    for i in range(blocks):
+        rows = own.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i).collect()  # about QUERIES rows
+        if rows:
+            flags = np.zeros((len(rows), TOTAL_BITS), np.uint8)
+            for flag, r in zip(flags, rows):
+                flag[r.bits or []] = 1
+            run = _overlaps(flags, [r["query"] for r in rows], to_arrow_type(kind), least)
+            out = out.unionByName(sets.select(key, "bits").mapInArrow(run, schema))
+    own.unpersist()
+    return out.select(F.col("query").alias(query), F.col("key").alias(key), "shared", "tau")
 
 
 def top(scored: DataFrame, query: str, key: str, score: str, k: int) -> DataFrame:
@@ -42,13 +92,12 @@ def top(scored: DataFrame, query: str, key: str, score: str, k: int) -> DataFram
 
 def two_phase(queries: DataFrame, sets: DataFrame, query: str, key: str, least: float = 0.5, k: int = 3) -> DataFrame:
     """Sets that hold more than ``least`` of a query, then the k that share most bits with it."""
-    return top(inclusion(queries, sets, query, key).filter(F.col("tau") > least), query, key, "shared", k)
+    return top(inclusion(queries, sets, query, key, least), query, key, "shared", k)
 
 
 def precedents(queries: DataFrame, sets: DataFrame, query: str, key: str, k: int) -> DataFrame:
     """The k sets of each query that share most bits with it."""
-    shared = sets.join(queries, "bit").groupBy(query, key).agg(F.count("*").alias("shared"))
-    return top(shared, query, key, "shared", k)
+    return top(inclusion(queries, sets, query, key), query, key, "shared", k).drop("tau")
 
 
 def exact_gate(tokens: DataFrame, known: DataFrame) -> DataFrame:
@@ -120,15 +169,18 @@ def complement(bits: DataFrame) -> DataFrame:
     return top_bits(bits.sparkSession).join(bits.select("bit"), "bit", "left_anti")
 
 
-def minimal_cover(sets: DataFrame, target: DataFrame, key: str, rounds: int | None = None) -> list[str]:
-    """Keys chosen greedily, each for the most target bits that are still uncovered, ties by key, until no key adds a bit
-    (each round takes one key) or for a stated number of rounds. Every round has the same plan, however many went before."""
+def minimal_cover(sets: DataFrame, target: DataFrame, key: str, rounds: int | None = None, ranks: DataFrame | None = None) -> list[str]:
+    """Keys chosen greedily, each for the most target bits that are still uncovered (or, with ranks (bit, tf), for the most
+    rank of such bits), ties by key, until no key adds a bit (each round takes one key) or for a stated number of rounds.
+    Every round has the same plan, however many went before."""
     target = target.select("bit").distinct().persist()
-    sets, chosen = sets.select(key, "bit").join(target, "bit", "left_semi").distinct().persist(), []
+    worth = F.count("*") if ranks is None else F.sum(F.coalesce("tf", F.lit(0)))
+    sets, chosen = sets.select(key, "bit").join(target, "bit", "left_semi").distinct(), []
+    sets = (sets if ranks is None else sets.join(ranks.select("bit", "tf"), "bit", "left")).persist()
     while rounds is None or len(chosen) < rounds:
         taken = F.when(F.col(key).isNull(), F.lit(None in chosen)).otherwise(F.col(key).isin([c for c in chosen if c is not None]))
         covered = sets.filter(taken).select("bit").distinct()
-        best = sets.join(covered, "bit", "left_anti").groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).first()
+        best = sets.join(covered, "bit", "left_anti").groupBy(key).agg(worth.alias("n")).orderBy(F.desc("n"), key).first()
         if best is None:
             break
         chosen.append(best[key])
@@ -165,6 +217,11 @@ def agent_scores(scores: DataFrame) -> DataFrame:
     return scores.withColumn("score", F.col("tf1") + 0.5 * F.col("tf2") + 0.25 * F.col("tf3"))
 
 
+def inboxes(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, bm): of each agent the OR of the sketches (node, bm) of those with an edge (src, dst) to it."""
+    return edges.select(F.col("src").alias("node"), "dst").join(sets, "node").groupBy(F.col("dst").alias("node")).agg(F.bitmap_or_agg("bm").alias("bm"))
+
+
 def waves(edges: DataFrame, seeds: DataFrame, rounds: int, threshold: float) -> DataFrame:
     """(node, wave): agents that fire. One fires in the first wave if it is a seed (node), later if the weights (src, dst,
     weight) of those fired the wave before add up to the threshold; each fires once."""

@@ -121,6 +121,18 @@ def tz_counts_of(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def cardinality_of(counts: np.ndarray) -> np.ndarray:
+    """cardinality() of arrays of 32 counts: (.., 32) to (..)."""
+    n, c = float(M), counts.astype(np.float64)
+    part = (c > 0) & (c < n)
+    f = -n * np.log1p(-np.where(part, c, 0.0) / n)
+    level = np.where(part.any(axis=-1), part.argmax(axis=-1), -1)[..., None]
+    base, s = np.take_along_axis(f, np.maximum(level, 0), axis=-1), np.arange(REG_BITS)
+    full = np.where(level > s, base * 2.0 ** (level - s), n * np.log(n))
+    total = np.where(part, f, np.where(c == 0, 0.0, full)).sum(axis=-1)
+    return np.maximum(np.floor(total + 0.5), 0.0)
+
+
 def bits(bm: Column | str) -> Column:
     """The bits of a packed sketch, ascending."""
     return _udf("array<int>", lambda s: pd.Series([np.flatnonzero(np.unpackbits(r, bitorder="little")).astype(np.int32) for r in matrix(s)], index=s.index))(bm)
@@ -163,6 +175,16 @@ def is_empty(bm: Column | str) -> Column:
     return F.bitmap_count(bm) == 0
 
 
+def registers_with(bm: Column | str, tz: int) -> Column:
+    """The registers that have a bit, ascending."""
+    return _udf("array<int>", lambda s: pd.Series([np.flatnonzero(r.reshape(M, REG_BITS)[:, tz]).astype(np.int32) for r in np.unpackbits(matrix(s), axis=1, bitorder="little")], index=s.index))(bm)
+
+
+def nonzero_registers(bm: Column | str) -> Column:
+    """How many registers have any bit."""
+    return _udf("int", lambda s: pd.Series((matrix(s).reshape(-1, M, REG_BITS // 8).any(axis=2)).sum(axis=1).astype(np.int32), index=s.index))(bm)
+
+
 def has_bit(bm: Column, reg: int, tz: int) -> Column:
     i = reg * REG_BITS + tz
     byte = F.conv(F.hex(F.substring(bm, i // 8 + 1, 1)), 16, 10).cast("int")

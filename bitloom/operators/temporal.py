@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bitloom.operators import sketch
+from bitloom.operators import algebra, sketch
 
 #: Commits after which each layer's content moves up: the default pyramid, L0 to L6.
 LAYERS = (1, 60, 3600, 86400, 604800, 2629800, 31557600)
@@ -69,6 +69,30 @@ def steering(parts: DataFrame, step: str) -> DataFrame:
     return v.withColumn("a", F.col("v") - F.lag("v").over(W.orderBy(step)))
 
 
+def flux(rows: DataFrame, step: str) -> DataFrame:
+    """(step, drift, influx, outflux, v, a, mass, force) of ranks (step, bit, rank) at whole-numbered steps.
+
+    drift: how the ranks of the bits that stay change; influx and outflux: the ranks of those that come and those that went;
+    v: influx without outflux; a: its change; mass: the rank of the whole state; force: mass times a."""
+    w = W.partitionBy("bit").orderBy(step)
+    before, after = F.lag(F.struct(step, "rank")).over(w), F.lead(step).over(w)
+    seen = rows.withColumn("p", before).withColumn("n", after)
+    stays, none = F.col(f"p.{step}") == F.col(step) - 1, F.lit(0).cast("long")
+    stays = F.coalesce(stays, F.lit(False))
+    now = seen.select(step, F.when(stays, F.col("rank") - F.col("p.rank")).otherwise(none).alias("drift"), F.when(stays, none).otherwise(F.col("rank")).alias("influx"), none.alias("outflux"), F.col("rank").alias("mass"))
+    gone = seen.filter(~F.col("n").eqNullSafe(F.col(step) + 1)).select((F.col(step) + 1).alias(step), none.alias("drift"), none.alias("influx"), F.col("rank").alias("outflux"), none.alias("mass"))
+    out = now.unionByName(gone).groupBy(step).agg(*(F.sum(c).alias(c) for c in ("drift", "influx", "outflux", "mass")))
+    out = out.withColumn("v", F.col("influx") - F.col("outflux"))
+    out = out.withColumn("a", F.col("v") - F.lag("v").over(W.orderBy(step)))  # one row a step
+    return out.select(step, "drift", "influx", "outflux", "v", "a", "mass", (F.col("mass") * F.col("a")).alias("force"))
+
+
+def running(sets: DataFrame, step: str, last: int, *keys: str) -> DataFrame:
+    """(keys, step, bm): at each row of (keys, step, bm) the OR of it and the last - 1 rows before it."""
+    w = W.partitionBy(*keys).orderBy(step).rowsBetween(1 - last, 0)
+    return sets.select(*keys, step, F.bitmap_or_agg("bm").over(w).alias("bm"))
+
+
 def step_parts(rows: DataFrame, step: str) -> DataFrame:
     """(step, bit, part): what departed, stayed and came at each whole-numbered step of (step, bit)."""
     w = W.partitionBy("bit").orderBy(step)
@@ -83,6 +107,16 @@ def controller(tau_01: Column, tau_03: Column) -> Column:
     return F.when(tau_01 < 0.5, "override").when(tau_03 < 0.3, "re-route").otherwise("stable")
 
 
+def control(layers: DataFrame, *keys: str) -> DataFrame:
+    """(keys, tau_01, tau_03, action) of layers (keys, layer, bm); a layer that isn't there is empty."""
+    of = lambda k: F.coalesce(F.max(F.when(F.col("layer") == k, F.col("bm"))), sketch.empty()).alias(f"l{k}")
+    wide = layers.groupBy(*keys).agg(of(0), of(1), of(3))
+    one = algebra.measured(wide.select(*keys, "l0", "l1"), "l0", "l1").select(*keys, F.col("tau").alias("tau_01"))
+    three = algebra.measured(wide.select(*keys, "l0", "l3"), "l0", "l3").select(*keys, F.col("tau").alias("tau_03"))
+    both = one.join(three, list(keys)) if keys else one.crossJoin(three)  # one row each without keys
+    return both.withColumn("action", controller(F.col("tau_01"), F.col("tau_03")))
+
+
 def cooccurrence(layers: DataFrame, bits: DataFrame) -> DataFrame:
     """(a, b, n): in how many layers (layer, bit) two of the asked-for bits (bit) stand together."""
     own = layers.join(bits.select("bit"), "bit", "left_semi").select("layer", "bit").distinct()

@@ -16,21 +16,24 @@ from bitloom.consts import TOTAL_BITS
 from bitloom.functions.hashing import murmur3, positions
 from bitloom.functions.records import from_bytes_of, to_bytes_of
 from bitloom.functions.text import DEFAULT, Tokenizer
-from bitloom.operators.sketch import atoms, tz_counts_of
+from bitloom.operators.sketch import atoms, cardinality_of, tz_counts_of
 
 
-def card_of(counts: np.ndarray) -> float:
-    """The estimate of sketch.cardinality() for one set of 32 counts."""
-    n = 1024.0
-    part = [i for i, c in enumerate(counts) if 0 < c < n]
-    level, total = part[0] if part else -1, 0.0
-    f = lambda c: -n * float(np.log(1.0 - c / n))
-    for s, c in enumerate(counts):
-        if 0 < c < n:
-            total += f(c)
-        elif c == n:
-            total += f(counts[level]) * 2.0 ** (level - s) if level > s else n * float(np.log(n))
-    return max(float(np.floor(total + 0.5)), 0.0)
+def number_text(x: float) -> str:
+    """A number in full, without an exponent, by the fewest digits that give it back: 1234567, 0.1, inf."""
+    if x != x:
+        return "NaN"
+    if x in (float("inf"), float("-inf")):
+        return "inf" if x > 0 else "-inf"
+    return f"{x:.0f}" if x == int(x) and abs(x) < 2**53 else _plain(repr(float(x)))
+
+
+def _plain(text: str) -> str:
+    """repr()'s digits, the exponent written out."""
+    from decimal import Decimal
+
+    text = format(Decimal(text), "f")
+    return text.rstrip("0").rstrip(".") if "." in text else text
 
 
 class Element:
@@ -70,7 +73,7 @@ class Element:
 
     @property
     def card(self) -> float:
-        return card_of(self._counts)
+        return float(cardinality_of(self._counts))
 
     @property
     def popcount(self) -> int:
@@ -152,7 +155,7 @@ class Element:
         return True
 
     def __str__(self) -> str:
-        return f"Element({self.key}, card={self.card:g})"
+        return f"Element({self.key}, card={number_text(self.card)})"
 
 
 class Session:
@@ -165,7 +168,7 @@ class Session:
 
     def inscribe(self, values) -> Element:
         """Of strings and numbers; anything else is skipped."""
-        show = lambda v: f"{v:g}" if isinstance(v, float) and v.is_integer() else str(v)
+        show = lambda v: number_text(v) if isinstance(v, float) else str(v)
         return Element.from_tokens(self.spark, [v if isinstance(v, (str, bytes)) else show(v) for v in values if isinstance(v, (str, bytes, int, float)) and not isinstance(v, bool)])
 
     def empty(self) -> Element:
@@ -188,6 +191,25 @@ class Session:
         return e
 
 
+    def eval(self, source: str):
+        """What a postfix program leaves on top of the stack; None of nothing."""
+        stack = self.exec(source)
+        return stack[-1] if stack else None
+
+    def exec(self, source: str) -> list:
+        """The whole stack after a postfix program."""
+        from bitloom.plans.forth import Interpreter
+
+        return Interpreter(self).run(source)
+
+    def eval_element(self, source: str) -> Element:
+        """The element on top of the stack; an error where there is none."""
+        top = self.eval(source)
+        if not isinstance(top, Element):
+            raise ValueError("the program leaves no element")
+        return top
+
+
 class Worker:
     """A store's sketches by key. Its errors count as absence."""
 
@@ -209,8 +231,3 @@ class Worker:
     def bss_inclusion(self, a: str, b: str) -> float | None:
         x, y = self.load(a), self.load(b)
         return None if x is None or y is None else x.bss_inclusion(y)
-
-
-def card_column(df: DataFrame, tokens) -> float:
-    """The estimate of all tokens of a column, in one job."""
-    return Element.from_column(df, F.col(tokens) if isinstance(tokens, str) else tokens).card

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from bitloom.plans.element import Element, Session
+from bitloom.plans.element import Element, Session, number_text
 
 
 class ParseError(ValueError):
@@ -23,7 +23,7 @@ class Word:
         if self.kind == "str":
             return '"' + str(self.value).replace("\\", "\\\\").replace('"', '\\"') + '"'
         if self.kind == "num":
-            return f"{self.value:g}"
+            return number_text(self.value)
         return str(self.value) if self.kind == "ident" else f": {self.value} {' '.join(map(str, self.body))} ;"
 
 
@@ -171,7 +171,8 @@ class Interpreter:
         elif known == "UNPIN":
             s.storage.unpin(self._pop())
         elif known == "GC":
-            push(s.storage.gc())
+            gone = s.storage.gc()
+            push(gone if isinstance(gone, list) else [r.key for r in gone.toLocalIterator()])
         else:
             push(name)
 

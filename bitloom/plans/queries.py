@@ -9,7 +9,7 @@ from bitloom.functions import keys as K
 from bitloom.functions import records as Z
 from bitloom.functions.hashing import bit_of_hash, hash64, token_bits
 from bitloom.functions.text import DEFAULT, ngrams_of
-from bitloom.operators import algebra, bridge, context, lut, sketch
+from bitloom.operators import algebra, bridge, context, lut, search, sketch
 from bitloom.plans import oracle as O
 from bitloom.plans.oracle_hash import bit as sql_bit
 from bitloom.plans.oracle_hash import hashed
@@ -51,6 +51,11 @@ def own_sets(spark, d, *keys: str) -> DataFrame:
     return docs(spark, d).select(*keys, sketch.of_tokens(words()).alias("bm"))
 
 
+def bit_sets(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, bits) of the words of each row."""
+    return df.select(*keys, token_bits(words()).alias("bits"))
+
+
 def rows(spark, d, *keys: str) -> DataFrame:
     return sketch.atoms(docs(spark, d), words(), *keys)
 
@@ -78,9 +83,14 @@ _LIST = "list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lowe
 
 
 def _gram_counts(df: DataFrame, tokens, key: str, sizes: range) -> DataFrame:
-    grams = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), ngrams_of(tokens, n).alias("g")) for n in sizes)))
-    each = df.select(key, grams.alias("x")).select(key, "x.n", F.explode("x.g").alias("gram"))
-    return each.groupBy(key, "n").agg(F.count("*").alias("total"), F.count_distinct("gram").alias("n_distinct"))
+    """Totals are sizes, which a row's first distinct n-gram carries; what is shuffled are 128-bit digests of n-grams, once for
+    each row, and not their texts."""
+    sized = F.array(*(F.struct(F.lit(n).alias("n"), ngrams_of(tokens, n).alias("g")) for n in sizes))
+    each = df.select(key, F.explode(sized).alias("x")).select(key, "x.n", F.size("x.g").alias("size"), F.posexplode(F.array_distinct("x.g")).alias("pos", "gram"))
+    digest = (F.xxhash64("gram").alias("a"), F.xxhash64(F.lit(1), "gram").alias("b"))
+    one = each.select(key, "n", F.when(F.col("pos") == 0, F.col("size")).otherwise(0).alias("size"), *digest)
+    one = one.groupBy(key, "n", "a", "b").agg(F.sum("size").alias("size"))
+    return one.groupBy(key, "n").agg(F.sum("size").alias("total"), F.count("*").alias("n_distinct"))
 
 
 @query(_grams_sql("documents", "lang", _LIST, range(1, 4)))
@@ -146,8 +156,8 @@ def dense_registers(spark, d):
 
 @query(O.with_(O.atoms()) + "SELECT lang, count(DISTINCT bit // 32) AS n, count(*) FILTER (bit % 32 = 3) AS n_tz3, (bool_or(bit = 0)) AS has_00 FROM at_ GROUP BY lang")
 def nonzero_registers(spark, d):
-    s = rows(spark, d, "lang").groupBy("lang").agg(F.count_distinct(F.shiftright("bit", 5)).alias("n"), F.count_if(F.expr("bit & 31 = 3")).alias("n_tz3"), F.bool_or(F.col("bit") == 0).alias("has_00"))
-    return s
+    n, tz3 = sketch.nonzero_registers("bm").cast("long"), F.size(sketch.registers_with("bm", 3)).cast("long")
+    return sets(spark, d, "lang").select("lang", n.alias("n"), tz3.alias("n_tz3"), sketch.has_bit(F.col("bm"), 0, 0).alias("has_00"))
 
 
 @query(O.with_(O.atoms("doc_id")) + "SELECT doc_id, CASE WHEN n <= 4096 THEN 16 + 2 * n ELSE 8208 END AS bytes FROM (SELECT doc_id, count(*) AS n FROM at_ GROUP BY ALL)")
@@ -226,11 +236,13 @@ _CONTAIN = f"""WITH RECURSIVE {O.occ(keys="doc_id")}, o2 AS ({O.tokens("benchmar
 
 @query(_CONTAIN + " SELECT item_id, doc_id FROM ni JOIN ns USING (item_id) WHERE n = size")
 def subset_pairs(spark, d):
-    """Documents whose sketch holds all bits of a benchmark item's: the items are the stated queries, joined on a bit."""
-    items = sketch.atoms(read(spark, d, "benchmark"), words(), "item_id")
-    size = items.groupBy("item_id").agg(F.count("*").alias("size"))
-    shared = items.join(rows(spark, d, "doc_id"), "bit").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
-    return shared.join(size, "item_id").filter("n = size").select("item_id", "doc_id")
+    """Documents whose sketch holds all bits of a benchmark item's: those that share so many, measured as packed pairs."""
+    items, own = bit_sets(read(spark, d, "benchmark"), "item_id"), bit_sets(docs(spark, d), "doc_id")
+    size = items.select("item_id", F.size("bits").alias("size"))
+    near = search.inclusion(items, own, "item_id", "doc_id", 0.5).join(size, "item_id").filter("shared = size").select("item_id", "doc_id")
+    packed = lambda df, key, name: df.select(key, sketch.of_tokens(words()).alias(name))
+    pairs = near.join(packed(read(spark, d, "benchmark"), "item_id", "bm_a"), "item_id").join(packed(docs(spark, d), "doc_id", "bm_b"), "doc_id")
+    return algebra.measured(pairs).filter("subset").select("item_id", "doc_id")
 
 
 # --- keys and records ----------------------------------------------------------------------------------------------
@@ -244,11 +256,14 @@ def token_keys(spark, d):
 _LE2 = "substr(printf('%04X', {0}), 3, 2) || substr(printf('%04X', {0}), 1, 2)"
 
 
-@query(O.with_(O.atoms("doc_id")) + f"""SELECT doc_id, 'h:' || sha1(unhex('3A300000010000000000' || {_LE2.format('n - 1')} || '10000000' || body)) AS key FROM (
-    SELECT doc_id, count(*) AS n, string_agg({_LE2.format('bit')}, '' ORDER BY bit) AS body FROM at_ GROUP BY doc_id HAVING count(*) <= 4096)""")
+@query(O.with_(O.atoms("doc_id"), "sz AS (SELECT doc_id, count(*) AS n FROM at_ GROUP BY doc_id)",
+    f"ar AS (SELECT doc_id, n, string_agg({_LE2.format('bit')}, '' ORDER BY bit) AS body FROM at_ JOIN sz USING (doc_id) WHERE n <= 4096 GROUP BY ALL)",
+    "by_ AS (SELECT doc_id, bit // 8 AS k, sum(1 << (bit % 8)::INTEGER)::BIGINT AS v FROM at_ JOIN sz USING (doc_id) WHERE n > 4096 GROUP BY ALL)",
+    "bi AS (SELECT doc_id, n, string_agg(printf('%02X', coalesce(v, 0)), '' ORDER BY k) AS body FROM (SELECT doc_id, n, k FROM sz, range(8192) r(k) WHERE n > 4096) LEFT JOIN by_ USING (doc_id, k) GROUP BY ALL)")
+    + f"""SELECT doc_id, 'h:' || sha1(unhex(CASE WHEN body IS NULL THEN '3A30000000000000' ELSE '3A300000010000000000' || {_LE2.format('n - 1')} || '10000000' || body END)) AS key
+    FROM documents LEFT JOIN (SELECT * FROM ar UNION ALL SELECT * FROM bi) USING (doc_id)""")
 def bitmap_keys(spark, d):
-    """Of every document, in whichever of the three forms its sketch has: none, an array, or bits. The SQL twin has arrays
-    only; a null text is empty."""
+    """Of every document, in whichever of the three forms its sketch has: none, an array, or bits; a null text is empty."""
     return Z.bitmap_keys(docs(spark, d), words(), "doc_id")
 
 
@@ -388,7 +403,10 @@ def drn_parts(spark, d):
     return context.evolve(*_two(spark, d)).select(F.col("bit").cast("long").alias("bit"), "part")
 
 
-@query("SELECT source, true AS holds FROM (SELECT DISTINCT source FROM documents)")
+@query(O.with_(O.atoms("source, lang"), "xa AS (SELECT DISTINCT source, bit FROM at_ WHERE lang = 'en')", "xb AS (SELECT DISTINCT source, bit FROM at_ WHERE lang <> 'en')",
+    "pr AS (SELECT coalesce(a.source, b.source) AS source, a.bit AS was, b.bit AS now FROM xa a FULL OUTER JOIN xb b ON a.source = b.source AND a.bit = b.bit)",
+    "na AS (SELECT source, count(*) AS n FROM xa GROUP BY 1), nb AS (SELECT source, count(*) AS n FROM xb GROUP BY 1)")
+    + "SELECT source, count(was) = coalesce(any_value(na.n), 0) AND count(now) = coalesce(any_value(nb.n), 0) AND count(*) FILTER (now IS NULL) + count(*) FILTER (was IS NOT NULL AND now IS NOT NULL) + count(*) FILTER (was IS NULL) = count(*) AS holds FROM pr LEFT JOIN na USING (source) LEFT JOIN nb USING (source) GROUP BY source")
 def drn_invariants(spark, d):
     r = rows(spark, d, "source", "lang")
     a, b = r.filter("lang = 'en'").select("source", "bit"), r.filter("lang <> 'en'").select("source", "bit").distinct()
@@ -513,41 +531,13 @@ def coverage(spark, d):
     return bridge.coverage(parts, asked)
 
 
-# --- store ---------------------------------------------------------------------------------------------------------
-
-
-def _store(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Contents (key of each document's words) and pins (those of the even ids)."""
-    keyed = docs(spark, d).select("doc_id", K.content_key(words()).alias("key"))
-    return keyed.select("key").distinct(), keyed.filter("doc_id % 2 = 0").select("key").distinct()
-
+# --- keys of documents (the store's queries are in queries_calls.py) -------------------------------------------------
 
 _KEYS = f"ks AS (SELECT doc_id, 'h:' || sha1(array_to_string(list_sort(list_distinct({_LIST})), chr(0))) AS key FROM documents)"
 
 
-@query(f"WITH {_KEYS} SELECT DISTINCT key FROM ks WHERE starts_with(key, 'h:a') ORDER BY key")
-def store_list_prefix(spark, d):
-    return _store(spark, d)[0].filter(F.col("key").startswith("h:a")).orderBy("key")
-
-
-@query(f"WITH {_KEYS} SELECT DISTINCT key, key NOT IN (SELECT key FROM ks WHERE doc_id % 2 = 0) AS removed FROM ks")
-def gc_survivors(spark, d):
-    from bitloom.sources.store import unpinned
-
-    contents, pins = _store(spark, d)
-    gone = unpinned(contents, pins).withColumn("removed", F.lit(True))
-    return gone.unionByName(contents.join(pins, "key", "left_semi").withColumn("removed", F.lit(False)))
-
-
 @query(f"WITH {_KEYS}, p AS (SELECT DISTINCT key FROM ks WHERE doc_id % 3 <> 0), c AS (SELECT DISTINCT key FROM ks WHERE doc_id % 3 <> 1) SELECT key, CASE WHEN key NOT IN (SELECT key FROM p) THEN 'N' WHEN key NOT IN (SELECT key FROM c) THEN 'D' ELSE 'R' END AS part FROM (SELECT key FROM p UNION SELECT key FROM c)")
 def key_drn(spark, d):
     keyed = docs(spark, d).select("doc_id", K.content_key(words()).alias("bit"))
     p, c = keyed.filter("doc_id % 3 <> 0").select("bit").distinct(), keyed.filter("doc_id % 3 <> 1").select("bit").distinct()
     return context.evolve(p, c).withColumnRenamed("bit", "key")
-
-
-@query(f"SELECT doc_id, len({_LIST}) AS n_words, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS token_count FROM documents WHERE len({_LIST}) > 0")
-def ingest_records(spark, d):
-    """What an ingest run records of each text: its words, and the parts that white space divides."""
-    out = docs(spark, d).select("doc_id", F.size(words()).cast("long").alias("n_words"), F.regexp_count("text", F.lit(r"[^ \t\n\r\f\x0B]+")).cast("long").alias("token_count"))
-    return out.filter("n_words > 0")

@@ -82,12 +82,6 @@ query(_PART.format("list_filter(list_transform(regexp_extract_all(p_name, '[A-Za
 )
 
 
-@query("SELECT event_type AS key, arg_max(props, event_id) AS value FROM events GROUP BY event_type")
-def named_values(spark, d):
-    """The last version of each named value."""
-    return read(spark, d, "events").groupBy(F.col("event_type").alias("key")).agg(F.max_by("props", "event_id").alias("value"))
-
-
 _SNAP = "p AS (SELECT doc_id, sha1(text) AS c FROM documents WHERE doc_id % 5 <> 0), q AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE sha1(text) END AS c FROM documents WHERE doc_id % 7 <> 0), ch AS (SELECT coalesce(p.doc_id, q.doc_id) AS doc_id, CASE WHEN p.doc_id IS NULL THEN 'A' WHEN q.doc_id IS NULL THEN 'D' WHEN p.c <> q.c THEN 'M' END AS status FROM p FULL OUTER JOIN q ON p.doc_id = q.doc_id)"
 
 
@@ -149,23 +143,8 @@ def unearned_tokens(spark, d):
     return search.unearned(index, tf)
 
 
-@query(O.with_(O.atoms("lang"), _LANGS) + "SELECT a, b, CASE WHEN tau < 0.5 THEN 'override' WHEN jaccard < 0.3 THEN 're-route' ELSE 'stable' END AS action FROM m")
-def controller_actions(spark, d):
-    m = algebra.measured(_pairs(sets(spark, d, "lang"), "lang"))
-    return m.select("a", "b", temporal.controller(F.col("tau"), F.col("jaccard")).alias("action"))
-
-
-@query()
-def minimal_cover(spark, d):
-    """Sources chosen greedily until no source adds one of the benchmark's bits (a loop on the driver, a source a round)."""
-    target = sketch.atoms(read(spark, d, "benchmark"), words())
-    own = sets(spark, d, "source").select("source", F.explode(sketch.bits("bm")).alias("bit"))
-    chosen = search.minimal_cover(own, target, "source")
-    return spark.createDataFrame(list(enumerate(chosen)), "round long, source string")
-
-
 @query()
 def restored_order(spark, d):
     """The order of each benchmark item's words, from its bigrams alone."""
-    pairs = read(spark, d, "benchmark").select("item_id", F.explode(F.zip_with(words(), F.slice(words(), 2, 100_000), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))).alias("p"))
+    pairs = read(spark, d, "benchmark").select("item_id", F.explode(F.zip_with(words(), F.slice(words(), F.lit(2), F.greatest(F.size(words()), F.lit(1))), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))).alias("p"))
     return search.restore_order(pairs.select("item_id", "p.src", "p.dst").filter("dst is not null"), "item_id")

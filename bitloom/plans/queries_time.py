@@ -9,7 +9,7 @@ from bitloom.operators import algebra, lut, search, sketch, temporal
 from bitloom.plans import oracle as O
 from bitloom.plans.oracle_hash import bit as sql_bit
 from bitloom.plans.oracle_hash import hashed
-from bitloom.plans.queries import _CONTAIN, _DAILY, _LIST, _daily, _pairs, docs, query, read, rows, sets, words
+from bitloom.plans.queries import _CONTAIN, _DAILY, _LIST, _daily, _pairs, bit_sets, docs, query, read, rows, sets, words
 from bitloom.streaming import windows
 
 _SIZES = (1, 3, 9, 27)
@@ -42,7 +42,7 @@ def pyramid_layers(spark, d):
     return _layers(spark, d).select("layer", sketch.popcount("bm").alias("popcount"))
 
 
-@query(O.with_(*_DAILY) + "SELECT count(DISTINCT bit) AS popcount, true AS holds FROM at_")
+@query(O.with_(*_LAYERS) + "SELECT (SELECT count(DISTINCT bit) FROM at_) AS popcount, (SELECT count(*) FROM (SELECT bit FROM la EXCEPT SELECT bit FROM at_)) + (SELECT count(*) FROM (SELECT bit FROM at_ EXCEPT SELECT bit FROM la)) = 0 AS holds")
 def pyramid_union_invariant(spark, d):
     """The union of all layers is that of all commits."""
     layers = _layers(spark, d).agg(F.bitmap_or_agg("bm").alias("bm"))
@@ -62,8 +62,8 @@ def rlink_weights(spark, d):
 
 @query(_CONTAIN + " SELECT item_id, doc_id, n AS shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rank FROM ni) WHERE rank <= 3")
 def precedents(spark, d):
-    items = sketch.atoms(read(spark, d, "benchmark"), words(), "item_id")
-    return search.precedents(items, rows(spark, d, "doc_id"), "item_id", "doc_id", 3).withColumn("rank", F.col("rank").cast("long"))
+    items, own = bit_sets(read(spark, d, "benchmark"), "item_id"), bit_sets(docs(spark, d), "doc_id")
+    return search.precedents(items, own, "item_id", "doc_id", 3).withColumn("rank", F.col("rank").cast("long"))
 
 
 _TAU = f""", nc AS ({O.card("SELECT item_id, doc_id, bit % 32 AS tz, count(*) AS c FROM ia JOIN da USING (bit) GROUP BY ALL", "item_id, doc_id")}),
@@ -73,15 +73,15 @@ _TAU = f""", nc AS ({O.card("SELECT item_id, doc_id, bit % 32 AS tz, count(*) AS
 
 @query(_CONTAIN + _TAU + " SELECT item_id, doc_id, shared, tau, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM ta WHERE tau > 0.5) WHERE rank <= 3")
 def two_phase_search(spark, d):
-    items = sketch.atoms(read(spark, d, "benchmark"), words(), "item_id")
-    return search.two_phase(items, rows(spark, d, "doc_id"), "item_id", "doc_id").withColumn("rank", F.col("rank").cast("long"))
+    items, own = bit_sets(read(spark, d, "benchmark"), "item_id"), bit_sets(docs(spark, d), "doc_id")
+    return search.two_phase(items, own, "item_id", "doc_id").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(_CONTAIN + _TAU + " SELECT item_id, doc_id, shared, tau FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY tau DESC, doc_id) AS rank FROM ta) WHERE rank = 1")
 def contamination(spark, d):
     """For each benchmark item the document that holds most of it."""
-    items = sketch.atoms(read(spark, d, "benchmark"), words(), "item_id")
-    best = search.top(search.inclusion(items, rows(spark, d, "doc_id"), "item_id", "doc_id"), "item_id", "doc_id", "tau", 1)
+    items, own = bit_sets(read(spark, d, "benchmark"), "item_id"), bit_sets(docs(spark, d), "doc_id")
+    best = search.top(search.inclusion(items, own, "item_id", "doc_id"), "item_id", "doc_id", "tau", 1)
     return best.select("item_id", "doc_id", "shared", "tau")
 
 
@@ -125,9 +125,9 @@ def _level_sql(n: int) -> str:
     return f"o{n} AS ({grams}), t{n} AS (SELECT DISTINCT token FROM o{n}), {hashed(f't{n}', n - 1, f'h{n}')}, l{n} AS (SELECT lang, {n} AS level, count(DISTINCT {sql_bit()}) AS popcount FROM o{n} JOIN h{n} USING (token) GROUP BY lang)"
 
 
-@query(O.with_(f"wl AS (SELECT role AS lang, {_LIST} AS w FROM conversations)", _level_sql(1), _level_sql(2)) + "SELECT lang AS role, level, popcount FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2)")
+@query(O.with_(f"wl AS (SELECT role AS lang, {_LIST} AS w FROM conversations)", *map(_level_sql, (1, 2, 3))) + "SELECT lang AS role, level, popcount FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)")
 def globals_by_level(spark, d):
-    out = search.levels(read(spark, d, "conversations"), words(), 2, "role")
+    out = search.levels(read(spark, d, "conversations"), words(), 3, "role")
     return out.select("role", "level", sketch.popcount("bm").alias("popcount"))
 
 
@@ -137,17 +137,10 @@ def exact_gate(spark, d):
     return search.hallucination(lut.occurrences(read(spark, d, "benchmark"), words(), "item_id"), known, "item_id")
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query, v.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM (FROM embeddings WHERE vec_id < 5) q, embeddings v),
+@query("""WITH s AS (SELECT q.vec_id AS query, v.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM (FROM embeddings WHERE vec_id % 20 = 0) q, embeddings v),
     r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS k FROM s) SELECT query, array_to_string(list_sort(list('tid' || id)), ',') AS tokens FROM r WHERE k <= 10 GROUP BY query""")
 def embed_sketch(spark, d):
-    v = read(spark, d, "embeddings")
-    out = search.embed_tokens(v, v.filter("vec_id < 5"), 10)
-    return out.select("query", F.concat_ws(",", "tokens").alias("tokens"))
-
-
-@query()
-def embed_sketch_whole(spark, d):
-    """As embed_sketch, but with every twentieth id as a query instead of the first five (whose SQL is kept as it is)."""
+    """Every vector whose id is divisible by 20, against all vectors."""
     v = read(spark, d, "embeddings")
     out = search.embed_tokens(v, v.filter("vec_id % 20 = 0"), 10)
     return out.select("query", F.concat_ws(",", "tokens").alias("tokens"))

@@ -1,15 +1,20 @@
 """A content-addressed store in Parquet: contents by prefix, pins, and named values by version.
 
-Reads push the key and the prefix's folder down to the files. Writes are appends; delete and gc rewrite only the
-prefixes they touch. Like any plain Parquet folder it takes one writer at a time; cas_tmp compares and then appends.
+Every write is an append: a put adds a version of its key, a delete or gc a version without bytes, and the last version
+counts. So no write touches what is there, and one that dies half-way leaves what was there before. Reads push the key and
+the prefix's folder down to the files. ``compact`` writes the last versions as a new generation beside the old one; a
+generation counts from the moment its marker file exists. Like any plain Parquet folder the store takes one writer at a
+time; cas_tmp compares and then appends.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CONTENT, _PINS, _NAMED = "key string, bytes binary, prefix string", "key string", "key string, ver long, bytes binary"
+_CONTENT, _PINS, _NAMED = "key string, ver long, bytes binary, prefix string", "key string, ver long, pinned boolean", "key string, ver long, bytes binary"
 
 
 class StoreError(Exception):
@@ -26,94 +31,136 @@ class CasMismatch(StoreError):
 
 class Store:
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.spark, self.path, self._ver = spark, path.rstrip("/"), 0
+        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _next(self) -> int:
+        """A version above all that this writer, or one before it, has given."""
+        self._ver = max(time.time_ns(), self._ver + 1)
+        return self._ver
 
-    def _exists(self, name: str) -> bool:
-        return self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"))
+    def _generation(self) -> str:
+        """The folder of contents: that of the last generation with a marker."""
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(""))] if self._fs.exists(self._path("")) else []
+        return f"content-{max((int(n.removeprefix('ready-')) for n in names if n.startswith('ready-')), default=0)}"
 
     def _table(self, name: str, schema: str) -> DataFrame:
         reader = self.spark.read.schema(schema)
-        return reader.parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], schema)
+        return reader.parquet(f"{self.path}/{name}") if self._fs.exists(self._path(name)) else self.spark.createDataFrame([], schema)
+
+    def _append(self, rows: DataFrame) -> None:
+        rows.write.mode("append").partitionBy("prefix").parquet(f"{self.path}/{self._generation()}")
+
+    def _versions(self) -> DataFrame:
+        return self._table(self._generation(), _CONTENT)
+
+    def _keys(self) -> DataFrame:
+        """(key, prefix) of what is there; bytes are not read."""
+        last = self._versions().groupBy("key", "prefix").agg(F.max(F.struct("ver", F.col("bytes").isNotNull().alias("there"))).alias("last"))
+        return last.filter("last.there").select("key", "prefix")
 
     def contents(self) -> DataFrame:
-        return self._table("content", _CONTENT)
+        """(key, bytes, prefix): the last versions."""
+        v = self._versions()
+        last = v.groupBy("key", "prefix").agg(F.max("ver").alias("ver"))
+        return v.join(last, ["key", "prefix", "ver"]).filter("bytes is not null").select("key", "bytes", "prefix")
 
     def pins(self) -> DataFrame:
-        return self._table("pins", _PINS)
-
-    def _replace(self, name: str, rows: DataFrame, *by: str) -> None:
-        """Writes beside, then swaps the folders: the old rows are read while the new ones are written."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        rows.write.partitionBy(*by).mode("overwrite").parquet(f"{self.path}/{name}.new")
-        self._fs.delete(path(f"{self.path}/{name}"), True)
-        self._fs.rename(path(f"{self.path}/{name}.new"), path(f"{self.path}/{name}"))
+        return self._table("pins", _PINS).groupBy("key").agg(F.max_by("pinned", "ver").alias("pinned")).filter("pinned").select("key")
 
     def put_all(self, rows: DataFrame) -> None:
-        """Adds rows (key, bytes); keys that are there keep what they have (a content key names its bytes)."""
-        rows = rows.select("key", "bytes", F.substring_index("key", ":", 1).alias("prefix")).dropDuplicates(["key"])
-        new = rows.join(self.contents().select("key"), "key", "left_anti")
-        new.write.mode("append").partitionBy("prefix").parquet(f"{self.path}/content")
+        """Adds rows (key, bytes); keys that are there keep what they have (a content key names its bytes). Null bytes are
+        empty ones."""
+        bytes_ = F.coalesce("bytes", F.lit(b"")).alias("bytes")
+        new = rows.select("key", F.lit(self._next()).alias("ver"), bytes_, F.substring_index("key", ":", 1).alias("prefix")).dropDuplicates(["key"])
+        self._append(new.join(self._keys().select("key"), "key", "left_anti"))
+
+    def _put(self, key: str, data: bytes | None) -> None:
+        row = (key, self._next(), None if data is None else bytearray(data), key.partition(":")[0])
+        self._append(self.spark.createDataFrame([row], _CONTENT))
 
     def put(self, key: str, data: bytes) -> None:
         """Overwrites."""
-        self.delete(key)
-        self.put_all(self.spark.createDataFrame([(key, bytearray(data))], "key string, bytes binary"))
+        self._put(key, data)
 
-    def _one(self, key: str) -> DataFrame:
-        return self.contents().filter((F.col("prefix") == key.partition(":")[0]) & (F.col("key") == key))
+    def _one(self, key: str):
+        rows = self._versions().filter((F.col("prefix") == key.partition(":")[0]) & (F.col("key") == key))
+        return rows.orderBy(F.desc("ver")).select("bytes").first()
 
     def get(self, key: str) -> bytes | None:
-        row = self._one(key).select("bytes").first()
-        return bytes(row.bytes) if row else None
+        row = self._one(key)
+        return None if row is None or row.bytes is None else bytes(row.bytes)
 
     def has(self, key: str) -> bool:
-        return not self._one(key).isEmpty()
+        return self.get(key) is not None
 
     def delete(self, key: str) -> bool:
         """Whether it was there. A pin on it stays."""
-        if not self.has(key):
-            return False
-        self._replace("content", self.contents().filter(F.col("key") != key), "prefix")
-        return True
+        there = self.has(key)
+        if there:
+            self._put(key, None)
+        return there
 
     def keys(self, prefix: str = "") -> DataFrame:
         """The keys that begin with any prefix, sorted."""
-        rows = self.contents()
+        rows = self._keys()
         if ":" in prefix:
             rows = rows.filter(F.col("prefix") == prefix.partition(":")[0])
         return rows.filter(F.col("key").startswith(prefix)).select("key").orderBy("key")
 
     def list(self, prefix: str = "") -> list[str]:
+        """keys(), one after the other on the driver: for few keys."""
         return [r.key for r in self.keys(prefix).toLocalIterator()]
 
+    def _pin(self, key: str, pinned: bool) -> None:
+        self.spark.createDataFrame([(key, self._next(), pinned)], _PINS).write.mode("append").parquet(f"{self.path}/pins")
+
     def pin(self, key: str) -> None:
         """Pinning again, or pinning what is not there, is no error."""
-        if self.pins().filter(F.col("key") == key).isEmpty():
-            self.spark.createDataFrame([(key,)], _PINS).write.mode("append").parquet(f"{self.path}/pins")
+        self._pin(key, True)
+
+    def pin_all(self, keys: DataFrame) -> None:
+        """Pins all of a table of keys (key)."""
+        keys.select("key", F.lit(self._next()).alias("ver"), F.lit(True).alias("pinned")).write.mode("append").parquet(f"{self.path}/pins")
 
     def unpin(self, key: str) -> None:
-        if self._exists("pins"):
-            self._replace("pins", self.pins().filter(F.col("key") != key))
+        self._pin(key, False)
 
     def unpinned(self) -> DataFrame:
         """The keys that gc would remove, sorted."""
-        return unpinned(self.contents(), self.pins()).orderBy("key")
-
-    def gc(self) -> list[str]:
-        """Removes all content that is not pinned; its keys, sorted. Named values stay."""
-        gone = [r.key for r in self.unpinned().toLocalIterator()]
-        if gone:
-            self._replace("content", self.contents().join(self.pins(), "key", "left_semi"), "prefix")
-        return gone
+        return self._keys().join(self.pins(), "key", "left_anti").select("key").orderBy("key")
+
+    def gc(self) -> DataFrame:
+        """Removes all content that is not pinned; a table (key) of what went, sorted. Named values stay."""
+        ver, now = self._next(), self._generation()
+        gone = self._keys().join(self.pins(), "key", "left_anti")
+        self._append(gone.select("key", F.lit(ver).alias("ver"), F.lit(None).cast("binary").alias("bytes"), "prefix"))
+        return self._table(now, _CONTENT).filter(F.col("ver") == ver).select("key").orderBy("key")
+
+    def compact(self) -> None:
+        """Writes the last versions as a new generation, which counts once it is whole, and deletes the old one."""
+        old = self._generation()
+        new = int(old.removeprefix("content-")) + 1
+        rows = self.contents().select("key", F.lit(self._next()).alias("ver"), "bytes", "prefix")
+        rows.write.mode("overwrite").partitionBy("prefix").parquet(f"{self.path}/content-{new}")
+        self._fs.create(self._path(f"ready-{new}")).close()
+        for name in (old, old.replace("content", "ready")):
+            self._fs.delete(self._path(name), True)
 
     def named(self) -> DataFrame:
         """(key, bytes): the last version of each named value."""
         return self._table("named", _NAMED).groupBy("key").agg(F.max_by("bytes", "ver").alias("bytes"))
 
+    def put_tmp_all(self, rows: DataFrame) -> None:
+        """Adds versions (key, ver, bytes) of named values."""
+        rows.select("key", "ver", "bytes").write.mode("append").parquet(f"{self.path}/named")
+
     def put_tmp(self, key: str, data: bytes) -> None:
         ver = self._table("named", _NAMED).filter(F.col("key") == key).agg(F.coalesce(F.max("ver"), F.lit(0))).first()[0] + 1
-        self.spark.createDataFrame([(key, ver, bytearray(data))], _NAMED).write.mode("append").parquet(f"{self.path}/named")
+        self.put_tmp_all(self.spark.createDataFrame([(key, ver, bytearray(data))], _NAMED))
 
     def get_tmp(self, key: str) -> bytes | None:
         row = self.named().filter(F.col("key") == key).first()
@@ -132,10 +179,6 @@ class Store:
     store, load, exists = put, get, has
 
 
-def unpinned(contents: DataFrame, pins: DataFrame) -> DataFrame:
-    return contents.join(pins.select("key"), "key", "left_anti").select("key")
-
-
 class MemoryStore:
     """The same interface over dictionaries on the driver, for sessions and tests."""
 

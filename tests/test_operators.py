@@ -10,7 +10,6 @@ from bitloom.functions import records as Z
 from bitloom.functions.hashing import murmur3, positions
 from bitloom.functions.text import DEFAULT
 from bitloom.operators import algebra, bridge, context, lut, search, sketch, temporal
-from bitloom.plans.element import card_of
 from bitloom.streaming import windows
 
 
@@ -40,7 +39,7 @@ def test_cardinality_column_equals_scalar(spark):
     rng = np.random.default_rng(1)
     counts = [[0] * 32, [1024] * 32, [1024, 1024, 700, 300] + [0] * 28, [1024] + [0] * 31] + [np.minimum(1024, rng.poisson(2000 / 2 ** np.arange(1, 33))).tolist() for _ in range(5)]
     df = spark.createDataFrame([(c,) for c in counts], "c array<int>")
-    assert [r.x for r in df.select(sketch.cardinality(F.col("c")).alias("x")).collect()] == [card_of(c) for c in counts]
+    assert [r.x for r in df.select(sketch.cardinality(F.col("c")).alias("x")).collect()] == [float(sketch.cardinality_of(np.array(c))) for c in counts]
 
 
 def test_cardinality_is_near_and_monotone(spark):
@@ -278,7 +277,7 @@ def test_embed_tokens_of_every_twentieth_id(spark, sf, monkeypatch):
     for q in (i for i in v if i % 20 == 0):
         best = sorted(v, key=lambda i: (-sum(x * y for x, y in zip(v[q].tolist(), v[i].tolist())), i))[:10]
         want[q] = ",".join(sorted(f"tid{i}" for i in best))
-    got = {r.query: r.tokens for r in QUERIES["embed_sketch_whole"](spark, sf).collect()}
+    got = {r.query: r.tokens for r in QUERIES["embed_sketch"](spark, sf).collect()}
     assert len(want) > 5 and got == want
 
 
@@ -304,7 +303,7 @@ def test_bitmap_keys_of_empty_and_dense_documents(spark, tmp_path):
 
 
 def test_minimal_cover_goes_on_until_nothing_is_left(spark, sf):
-    from bitloom.plans import queries_more  # noqa: F401
+    from bitloom.plans import queries_calls  # noqa: F401
     from bitloom.plans.queries import QUERIES
 
     sets = collections.defaultdict(set)
@@ -319,3 +318,36 @@ def test_minimal_cover_goes_on_until_nothing_is_left(spark, sf):
     assert [r.source for r in QUERIES["minimal_cover"](spark, sf).orderBy("round").collect()] == want
     nulls = spark.createDataFrame([(None, 1), (None, 2), ("a", 2), ("a", 3)], "k string, bit int")
     assert search.minimal_cover(nulls, spark.createDataFrame([(1,), (2,), (3,)], "bit int"), "k") == [None, "a"]
+
+
+def test_joins_in_time(spark):
+    from bitloom.operators import joins
+
+    left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 3), (None, 2)], "k string, t long")
+    right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("a", 5, "z"), ("b", 4, "w"), (None, 1, "n"), ("b", 1, None)], "k string, t long, v string")
+    assert {(r.k, r.t): r.v for r in joins.asof(left, right, "t", "k", value="v").collect()} == {("a", 5): "z", ("a", 1): None, ("b", 3): None, (None, 2): "n"}
+    points = spark.createDataFrame([(x / 2,) for x in range(-10, 30)], "at double")
+    spans = spark.createDataFrame([(1, 0.0, 3.0), (2, -4.5, 11.0), (3, 2.0, 2.0), (4, 5.0, 1.0), (5, 100.0, 200.0)], "i long, a double, b double")
+    got = sorted((r.i, r["at"]) for r in joins.within(points, spans, "at", "a", "b", 2.0).collect())
+    assert got == sorted((i, x / 2) for i, a, b in ((1, 0.0, 3.0), (2, -4.5, 11.0)) for x in range(-10, 30) if a <= x / 2 < b)
+
+
+def test_inclusion_in_blocks(spark, monkeypatch):
+    """The same whatever the blocks of queries and of pairs; against sets of Python."""
+    import random
+
+    r = random.Random(4)
+    queries = [(i, sorted(r.sample(range(60), r.randint(0, 20)))) for i in range(9)]
+    sets = [(i, sorted(r.sample(range(60), r.randint(0, 30)))) for i in range(40)] + [(90, None), (91, [])]
+    q, s = spark.createDataFrame(queries, "q long, bits array<int>"), spark.createDataFrame(sets, "k long, bits array<int>")
+    card = lambda bits: float(sketch.cardinality_of(np.bincount(np.array(sorted(bits), int) % 32, minlength=32)))
+    want = {}
+    for i, a in queries:
+        for k, b in sets:
+            both = set(a) & set(b or [])
+            if both:
+                want[(i, k)] = (len(both), min(card(both) / card(a), 1.0))
+    for blocks, cells in ((1024, 1 << 22), (2, 64), (1, 1)):
+        monkeypatch.setattr(search, "QUERIES", blocks)
+        monkeypatch.setattr(search, "PAIR_CELLS", cells)
+        assert {(x.q, x.k): (x.shared, x.tau) for x in search.inclusion(q, s, "q", "k").collect()} == want

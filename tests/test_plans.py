@@ -1,8 +1,10 @@
 """Elements, the store, the postfix language, and the queries against their SQL."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from bitloom.plans.element import Element, Session, Worker
+from bitloom.plans.element import Element, Session, Worker, number_text
 from bitloom.plans.forth import Interpreter, ParseError, parse, shown
 from bitloom.sources.store import CacheStore, CasMismatch, MemoryStore, NotFound, Store
 
@@ -34,14 +36,15 @@ def _kept(store):
     store.pin("h:1")
     store.pin("h:1")
     store.put_tmp("system:tf", b"1")
-    assert store.gc() == ["v:1"] and store.list() == ["h:1"] and store.get_tmp("system:tf") == b"1"
+    keys = lambda gone: gone if isinstance(gone, list) else [r.key for r in gone.collect()]
+    assert keys(store.gc()) == ["v:1"] and store.list() == ["h:1"] and store.get_tmp("system:tf") == b"1"
     assert store.cas_tmp("system:tf", b"1", b"2") and store.get_tmp("system:tf") == b"2"
     with pytest.raises(CasMismatch):
         store.cas_tmp("system:tf", b"1", b"3")
     with pytest.raises(NotFound):
         store.cas_tmp("none", b"1", b"3")
     store.unpin("h:1")
-    assert store.gc() == ["h:1"] and store.list() == []
+    assert keys(store.gc()) == ["h:1"] and store.list() == []
 
 
 def test_stores(spark, tmp_path):
@@ -58,6 +61,54 @@ def test_stores(spark, tmp_path):
     assert old.get("k") == b"2"
 
 
+def test_store_after_a_write_that_died(spark, tmp_path):
+    """Whatever a write leaves behind when it dies, the store has what it had before."""
+    import shutil
+
+    store = Store(spark, str(tmp_path / "store"))
+    store.put_all(spark.createDataFrame([(f"h:{i}", bytearray([i])) for i in range(20)] + [("v:1", None)], "key string, bytes binary"))
+    store.put("h:3", b"new")
+    store.pin_all(spark.createDataFrame([(f"h:{i}",) for i in range(0, 20, 2)], "key string"))
+    have = {r.key: bytes(r.bytes) for r in store.contents().collect()}
+    assert have == {f"h:{i}": bytes([i]) for i in range(20)} | {"h:3": b"new", "v:1": b""}
+    shutil.copytree(tmp_path / "store" / "content-0" / "prefix=h", tmp_path / "store" / "content-1" / "prefix=h")  # a compaction without its marker
+    (tmp_path / "store" / "content-0" / "_temporary" / "0").mkdir(parents=True)  # an append without its commit
+    (tmp_path / "store" / "content-0" / "_temporary" / "0" / "part-0.parquet").write_bytes(b"half")
+    again = Store(spark, str(tmp_path / "store"))
+    assert {r.key: bytes(r.bytes) for r in again.contents().collect()} == have
+    again.compact()
+    assert {r.key: bytes(r.bytes) for r in again.contents().collect()} == have and not (tmp_path / "store" / "content-0").exists()
+    assert again.gc().count() == 11 and again.list() == sorted(f"h:{i}" for i in range(0, 20, 2))
+    again.put("h:1", b"back")
+    assert again.get("h:1") == b"back" and Store(spark, str(tmp_path / "store")).delete("h:1") and not again.has("h:1")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.floats(allow_nan=False))
+def test_numbers_are_written_in_full(x):
+    text = number_text(x)
+    assert float(text) == x and "e" not in text.lower()
+    word = parse(text)[0]
+    assert parse(str(word)) == [word] and number_text(1234567.0) == "1234567" and number_text(1e21) == "1" + "0" * 21
+
+
+def test_host_calls(spark):
+    s = Session(spark)
+    assert s.eval('"a b c" TOKENIZE CARD') == 3.0 and s.eval("") is None and s.exec("1 2") == [1.0, 2.0]
+    assert s.eval_element("1234567 1 INSCRIBE") == s.inscribe(["1234567"]) == s.inscribe([1234567.0]) == s.inscribe([1234567])
+    with pytest.raises(ValueError):
+        s.eval_element("1 2")
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from bitloom.__main__ import main
+
+    (tmp_path / "p").write_text('"x y" TOKENIZE POPCOUNT')
+    assert main(["-e", "1 2.5 SWAP"]) == 0 and main(["-f", str(tmp_path / "p")]) == 0 and main(["--forth-debug", "1234567 dup"]) == 0
+    assert capsys.readouterr().out.split("\n")[:3] == ["[2.5, 1]", "[2]", "1234567 dup"]
+    assert main(["-e", '"open']) == 1 and "unterminated" in capsys.readouterr().err
+
+
 def test_worker(spark):
     w = Worker(Session(spark))
     a, b = w.inscribe(["x", "y"]), w.inscribe(["y"])
@@ -111,7 +162,7 @@ def test_queries_equal_their_sql(spark, sf):
 
     import duckdb
 
-    from bitloom.plans import queries_more, queries_time  # noqa: F401
+    from bitloom.plans import queries_calls, queries_more, queries_time  # noqa: F401
     from bitloom.plans.queries import QUERIES, SQL
 
     db = duckdb.connect()
