@@ -28,20 +28,25 @@ def re_represent(bits: Column) -> Column:
     return token_bits(represented_tokens(bits))
 
 
-def trigrams(tokens: Column) -> Column:
-    """3-grams of padded tokens; none of none."""
+def trigrams_of(words: list[bytes]) -> list[bytes]:
+    """3-grams of padded words; none of none."""
+    padded = [START.encode(), *words, END.encode()]
+    return [b"\0".join(padded[i : i + 3]) for i in range(len(padded) - 2)]
 
-    def grams(t: Column) -> Column:
-        return F.when(F.size(t) > 2, F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 2, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(3)), EOS))).otherwise(
-            F.array().cast("array<string>")
-        )
 
-    return F.transform(F.array(F.concat(F.array(F.lit(START)), tokens, F.array(F.lit(END)))), grams)[0]
+def trigram_bits_of(bits: np.ndarray) -> np.ndarray:
+    """Bits of the 3-grams of bits in order, each written {register}:{level}."""
+    return np.unique(positions(murmur3(trigrams_of([b"%d:%d" % (b >> 5, b & 31) for b in bits]))))
 
 
-def trigram_bits(bits: Column) -> Column:
-    """Bits of the 3-grams of an array of bits, in order, written {register}:{level}."""
-    return token_bits(trigrams(F.transform(bits, lambda b: F.concat(F.shiftright(b, 5).cast("string"), F.lit(":"), b.bitwiseAND(31).cast("string")))))
+def trigram_bits(bits: Column | str) -> Column:
+    """trigram_bits_of() a column of arrays of bits."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([trigram_bits_of(np.asarray(v if v is not None else [], np.int64)).astype(np.int32) for v in values], index=values.index)
+
+    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<int>")(bits)
 
 
 def register_vector(bits: Column | str) -> Column:
@@ -90,9 +95,7 @@ def fingerprint_of(bits: np.ndarray, times: int = 1) -> np.ndarray:
     """The 1,024 register counts of a set's 3-grams, the set re-represented so many times before."""
     for _ in range(times):
         bits = represented_of(bits)
-    padded = [START.encode(), *(b"%d:%d" % (b >> 5, b & 31) for b in bits), END.encode()]
-    grams = [b"\0".join(padded[i : i + 3]) for i in range(len(padded) - 2)]
-    return np.bincount(np.unique(positions(murmur3(grams))) >> 5, minlength=M).astype(np.int32)
+    return np.bincount(trigram_bits_of(bits) >> 5, minlength=M).astype(np.int32)
 
 
 def fingerprints(sets: DataFrame, *keys: str, again: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from bitloom.functions.text import Pattern, Tokenizer
 from bitloom.operators import bridge, context, joins, lut, search, sketch, temporal
 from bitloom.plans import oracle as O
 from bitloom.plans.oracle_hash import bit as sql_bit
-from bitloom.plans.queries import _ASKED, _KEYS, _LIST, _request, _trigrams, docs, own_sets, query, read, rows, sets, words
+from bitloom.plans.queries import _ASKED, _KEYS, _LIST, _bit_sets, _request, _trigrams, docs, own_sets, query, read, rows, sets, words
 from bitloom.plans.queries_time import _level_sql
 from bitloom.sources import files
 from bitloom.sources.shared import new_path
@@ -166,12 +166,12 @@ def node_union(spark, d):
     return tokens.agg(F.count("*").alias("tokens")).select(F.lit(label).alias("label"), "tokens")
 
 
-@query(O.with_(O.atoms(), _trigrams("at_", "lang", "tg")) + "SELECT lang, bit FROM tg")
+@query(O.with_(O.atoms(), _trigrams("at_", "lang", "tg")) + "SELECT lang, count(*) AS n, sum(bit)::BIGINT AS total FROM tg GROUP BY lang")
 def sketch_trigrams(spark, d):
-    """The 3-grams of each sketch's bits in order, as bits."""
-    own = rows(spark, d, "lang").groupBy("lang").agg(F.array_sort(F.collect_set("bit")).alias("bits"))  # 32,768 at most
-    grams = own.select("lang", bridge.trigram_bits(F.col("bits")).alias("bits")).select("lang", F.explode("bits").alias("bit")).distinct()
-    return grams.select("lang", F.col("bit").cast("long").alias("bit"))
+    """The 3-grams of each sketch's bits in order, as bits: how many, and their sum."""
+    grams = _bit_sets(spark, d).select("lang", bridge.trigram_bits(F.col("bits")).alias("bits"))
+    total = F.aggregate("bits", F.lit(0).cast("long"), lambda a, x: a + x)
+    return grams.select("lang", F.size("bits").cast("long").alias("n"), total.alias("total"))
 
 
 # --- nodes and contexts --------------------------------------------------------------------------------------------
