@@ -13,9 +13,9 @@ Shards and queries meet by cogroups: a shard is sent and indexed once for QUERY_
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null
 id; vectors of other lengths are searched among themselves; ties go to the smaller id; equal vectors are neighbours at
-distance 0; a query's own rows are left out; repeated rows are candidates each, a query that is
-repeated asks once, and two vectors that ask under one id share its k answers. With fewer than k candidates all are returned; an empty table gives no rows. Ids are whole
-numbers. Further columns don't pass, so their names are free.
+distance 0; a query's own rows are left out; repeated rows are candidates each, a query that is repeated asks once, and
+two vectors that ask under one id share its k answers. With fewer than k candidates all are returned; an empty table gives
+no rows; vectors of any length are searched. Ids are whole numbers. Further columns don't pass, so their names are free.
 """
 
 from __future__ import annotations

@@ -2,38 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import threading
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.plans.ship import ship  # noqa: F401
+from bitloom.sources.shared import new_path, shared_folder  # noqa: F401
 
 #: A word is a run of anything but these six characters: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
 
 
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all machines see; where it is unset and Spark runs on one machine, a
-    temporary one."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        app = spark.sparkContext.applicationId
-        folder = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="bitloom-"))
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 class _Scopes(threading.local):
     """For each settled() that this thread is in, the paths that were written there."""
 
