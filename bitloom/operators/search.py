@@ -223,12 +223,14 @@ def inboxes(edges: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def waves(edges: DataFrame, seeds: DataFrame, rounds: int, threshold: float) -> DataFrame:
-    """(node, wave): agents that fire. One fires in the first wave if it is a seed (node), later if the weights (src, dst,
-    weight) of those fired the wave before add up to the threshold; each fires once."""
+    """(node, wave): agents that fire. One fires in the first wave if it is a seed (node), later if the weights that reach it
+    in a wave add up to the threshold; each fires once. An edge (src, dst, weight) takes one wave, or as many as its column
+    delay says: so cycles end up in later waves."""
+    edges = edges if "delay" in edges.columns else edges.withColumn("delay", F.lit(1))
     fired = seeds.select("node", F.lit(0).alias("wave"))
     for k in range(1, rounds + 1):
-        now = fired.filter(F.col("wave") == k - 1).select(F.col("node").alias("src"))
-        reached = edges.join(now, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("weight").alias("in")).filter(F.col("in") >= threshold)
+        sent = edges.join(fired.withColumnRenamed("node", "src"), "src").filter(F.col("wave") + F.col("delay") == k)
+        reached = sent.groupBy(F.col("dst").alias("node")).agg(F.sum("weight").alias("in")).filter(F.col("in") >= threshold)
         fired = fired.unionByName(reached.join(fired.select("node"), "node", "left_anti").select("node", F.lit(k).alias("wave")))
     return fired
 

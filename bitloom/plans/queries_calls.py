@@ -216,6 +216,17 @@ def agent_waves(spark, d):
     return search.waves(edges, spark.createDataFrame([("view",)], "node string"), 2, 0.2)
 
 
+@query(O.with_("occ AS (SELECT event_type, user_id::VARCHAR AS token FROM events)", O.bits(), "at_ AS (SELECT DISTINCT event_type, bit FROM occ JOIN hb USING (token))",
+    "f AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events)")
+    + "SELECT dst AS node, count(DISTINCT bit) AS popcount FROM (SELECT DISTINCT src, dst FROM f WHERE dst IS NOT NULL AND src <> dst) JOIN at_ ON event_type = src GROUP BY dst")
+def agent_inboxes(spark, d):
+    """The users of all event types that each type follows on, as one sketch."""
+    e = read(spark, d, "events")
+    edges = context.transitions(e, "user_id", ["ts", "event_id"], "event_type").filter("src <> dst")
+    own = sketch.build(e.select(F.col("event_type").alias("node"), F.array(F.col("user_id").cast("string")).alias("t")), F.col("t"), "node")
+    return search.inboxes(edges, own).select("node", sketch.popcount("bm").alias("popcount"))
+
+
 # --- time ----------------------------------------------------------------------------------------------------------
 
 _SIZES = (1, 3, 9, 27)

@@ -319,6 +319,12 @@ def test_minimal_cover_goes_on_until_nothing_is_left(spark, sf):
     assert search.minimal_cover(nulls, spark.createDataFrame([(1,), (2,), (3,)], "bit int"), "k") == [None, "a"]
 
 
+def test_waves_with_delays(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0, 1), ("b", "c", 1.0, 2), ("c", "a", 1.0, 1), ("a", "d", 0.5, 3), ("c", "d", 0.5, 1), ("b", "d", 0.5, 3)], "src string, dst string, weight double, delay int")
+    got = search.waves(edges, spark.createDataFrame([("a",)], "node string"), 6, 1.0)
+    assert {r.node: r.wave for r in got.collect()} == {"a": 0, "b": 1, "c": 3, "d": 4}
+
+
 def test_joins_in_time(spark):
     from bitloom.operators import joins
 
