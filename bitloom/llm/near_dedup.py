@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitloom.llm import minhash as mh
-from bitloom.llm.common import ship, table, written
+from bitloom.llm.common import remove, ship, table, written
 from bitloom.llm.graph import components
 
 SMALL, HUB = 32, 256
@@ -139,17 +139,12 @@ def _block_comparer(k: int, percent: int, fewest: np.ndarray):
     return run
 
 
-def _confirmed(pairs: DataFrame, hubs: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, percent: int, fewest: np.ndarray) -> DataFrame:
-    """The links among pairs (u, v, salt), as a written table. hubs: (id, copies) of the v that have more salts than 0."""
-
-    def both(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-        copies = F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)).cast("long") - 1)
-        u, v = rows.select(F.col("id").alias("u"), F.col(name).alias(f"{name}_u")), rows.join(hubs, "id", "left")
-        v = v.select(F.col("id").alias("v"), F.explode(copies).alias("salt"), F.col(name).alias(f"{name}_v"))
-        return pairs.join(u, "u").join(v, ["v", "salt"]).select("u", "v", f"{name}_u", f"{name}_v", "salt")
-
-    left = written(both(pairs, sigs, "sig").mapInArrow(_pruner(fewest), "u long, v long, salt long"), "pruned")
-    return written(both(left, texts, "text").mapInArrow(_confirmer(k, percent), "u long, v long"), "confirmed")
+def _sides(pairs: DataFrame, hubs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """pairs (u, v, salt) with a column of rows for either side. hubs: (id, copies) of the v that have more salts than 0."""
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)).cast("long") - 1)
+    u, v = rows.select(F.col("id").alias("u"), F.col(name).alias(f"{name}_u")), rows.join(hubs, "id", "left")
+    v = v.select(F.col("id").alias("v"), F.explode(copies).alias("salt"), F.col(name).alias(f"{name}_v"))
+    return pairs.join(u, "u").join(v, ["v", "salt"]).select("u", "v", f"{name}_u", f"{name}_v", "salt")
 
 
 def _left_over(large: DataFrame, labels: DataFrame, reps: DataFrame, k: int, percent: int, fewest: np.ndarray) -> DataFrame:
@@ -183,7 +178,10 @@ def _left_over(large: DataFrame, labels: DataFrame, reps: DataFrame, k: int, per
     side = lambda c, rows: blocks.select("key", F.col("side").alias(f"s{c}"), F.col("block").alias(c), F.col("rows").alias(rows))
     both = pairs.withColumn("sx", F.lit(0)).join(side("x", "a"), ["key", "sx", "x"]).join(side("y", "b").withColumnRenamed("sy", "s"), ["key", "s", "y"])
     both = both.select("key", "a", "b", ((F.col("s") == 0) & (F.col("x") == F.col("y"))).alias("same"))
-    return written(both.mapInArrow(_block_comparer(k, percent, fewest), "u long, v long"), "confirmed")
+    links = written(both.mapInArrow(_block_comparer(k, percent, fewest), "u long, v long"), "confirmed")
+    for done in (main, mixed, size, blocks):
+        remove(done)
+    return links
 
 
 def _linked(docs: DataFrame, id: str, text: str, k: int, percent: int, miss: float, by_id: bool) -> tuple[DataFrame, DataFrame]:
@@ -198,9 +196,10 @@ def _linked(docs: DataFrame, id: str, text: str, k: int, percent: int, miss: flo
     grouped = real.groupBy("hi", "lo").agg(F.min(F.struct("id", "content")).alias("rep"))
     classes = written(grouped.select("hi", "lo", "rep", F.monotonically_increasing_id().alias("node")), "classes")
     reps = classes.select("hi", "lo", F.col("rep.id").alias("id"), F.col("rep.content").alias("content"), "node")
-    # one row for each class, also where rows are repeated
-    sigs = written(real.join(reps, ["hi", "lo", "id", "content"]).select(F.col("node").alias("id"), "sig").dropDuplicates(["id"]), "sigs")
-    texts = written(plain.join(reps, ["id", "content"]).select(F.col("node").alias("id"), "text").dropDuplicates(["id"]), "texts")
+    repeated = not real.groupBy("id", "content").count().filter("count > 1").isEmpty()
+    one = lambda df: df.dropDuplicates(["id"]) if repeated else df  # noqa: E731  (a row for each class)
+    # what joins all rows joins by shuffles at every size, so that a small table's plan is that of a large one
+    sigs = written(one(real.join(reps.hint("merge"), ["hi", "lo", "id", "content"]).select(F.col("node").alias("id"), "sig")), "sigs")
     keyed = sigs.mapInArrow(_bands, "key long, id long")
     # written, so that the join has plain exchanges on both sides and Spark can split a hot band
     counts = written(keyed.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1"), "counts")
@@ -211,11 +210,20 @@ def _linked(docs: DataFrame, id: str, text: str, k: int, percent: int, miss: flo
     hubs = written(counts.filter(f"n > {HUB}").groupBy(F.col("least").alias("id")).agg(F.max(part("n")).alias("copies")), "hubs")
     small = shared.filter(f"n <= {SMALL}").select("key", "id", "least")
     pairs = small.join(small.select("key", F.col("id").alias("v")), "key").filter("id > v and v <> least").select(F.col("id").alias("u"), "v").distinct()
-    links = _confirmed(stars.unionByName(pairs.withColumn("salt", F.lit(0).cast("long"))), hubs, sigs, texts, k, percent, fewest)
-    large = shared.filter(f"n > {SMALL}").select("key", "id")
+    pairs = stars.unionByName(pairs.withColumn("salt", F.lit(0).cast("long")))
+    left = written(_sides(pairs, hubs, sigs, "sig").mapInArrow(_pruner(fewest), "u long, v long, salt long"), "pruned")
+    large = written(shared.filter(f"n > {SMALL}").select("key", "id"), "large")
+    remove(shared)
+    # only texts that are compared are moved
+    needed = left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).unionByName(large.select(F.col("id").alias("node"))).distinct()
+    named = written(reps.join(needed, "node").select("id", "content", "node"), "needed")
+    texts = written(one(plain.join(named.hint("merge"), ["id", "content"]).select(F.col("node").alias("id"), "text")), "texts")
+    links = written(_sides(left, hubs, texts, "text").mapInArrow(_confirmer(k, percent), "u long, v long"), "confirmed")
     if not large.isEmpty():
         known = components(links).withColumnRenamed("component", "label")
         links = links.unionByName(_left_over(large, known, texts.join(sigs, "id"), k, percent, fewest))
+    for done in (left, named, texts, sigs, counts, hubs, large):
+        remove(done)
     if by_id:
         own = real.join(classes, ["hi", "lo"]).select("id", "node")
         links = links.unionByName(own.join(own.groupBy("id").agg(F.min("node").alias("v")), "id").filter("node <> v").select(F.col("node").alias("u"), "v"))
