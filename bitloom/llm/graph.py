@@ -13,15 +13,17 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = written(_least(both), "least")  # so that the join has plain exchanges on both sides and Spark can split a hub
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _large(edges: DataFrame, least: DataFrame) -> DataFrame:
+    return _both(edges).join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = written(_least(down), "least")
+    least = _least(down)  # of those at or below it, few have many: hubs are the least ones by now
     links = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return links.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
@@ -35,7 +37,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = _digest(edges)
     while before[0]:
-        after = written(_small(_large(edges)), "links")
+        least = written(_least(_both(edges)), "least")  # so that the join has plain exchanges on both sides and Spark can split a hub
+        after = written(_small(_large(edges, least)), "links")
+        remove(least)
         remove(edges)
         edges, now = after, _digest(after)
         if now == before:
