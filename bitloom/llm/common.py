@@ -24,12 +24,12 @@ class _Scopes(threading.local):
 _scopes = _Scopes()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """df, computed once and kept as Parquet in the shared folder: losing an executor loses nothing of it."""
     path = new_path(df.sparkSession, name)
     for scope in _scopes.open[-1:]:
         scope.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -215,10 +215,11 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
     return out.blocks
 
 
-def chosen(page: str | None) -> tuple[str, list[str] | None]:
-    """The main text, and the blocks that are left open where there is none."""
+def chosen(page: str | None) -> tuple[str, list[str] | None, bool]:
+    """The main text as far as structure tells, the blocks that the other pages of the host decide on (its own, or
+    those left open where it has none), and whether they are the main text's own."""
     found = blocks(page)
     for place in (ARTICLE, MAIN):
         if inside := [t for p, t in found if p == place]:
-            return " ".join(inside), None
-    return "", [t for p, t in found if p == OPEN] or None
+            return " ".join(inside), inside, True
+    return "", [t for p, t in found if p == OPEN] or None, False

@@ -491,3 +491,56 @@ def test_articles_of_test_pages(spark, sf):
         inner = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
         inner = re.sub(r"</?(?:p|h1|br)[^>]*>", " ", inner).replace("<b>", "").replace("</b>", "")
         assert r.text == " ".join(H.unescape(inner).split()) and r.n_chars == len(r.text)
+
+
+def framed_pages(r, n):
+    """Articles of a host, as blocks: each has a byline and a notice that no tag marks; passages and copies are main text."""
+    line = lambda k: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    frame, passage, out = [line(3), line(15)], line(25), []
+    for i in range(n):
+        own = [line(r.randint(20, 60)) for _ in range(3)]
+        out.append([line(4), *own[:2], *[passage] * (i % 3 == 0), own[2], *frame * (i % 4 > 0), line(2)])
+    near = [[f"{line(2)} {k}", *out[1][1:]] for k in range(2)]  # copies with another title
+    quoting = [[line(30), f"{line(5)} {frame[1]}"]]  # words of its own in the block
+    mostly = [[line(5), *frame]]  # more than half is the frame
+    return [*out, *near, *quoting, *mostly, *[list(out[1])] * 3]
+
+
+def plain_articles(pages, least, few):
+    """The definition, word by word: blocks within runs of more than half of the distinct articles go, unless they are most of an article."""
+    distinct, runs, out = {tuple(p) for p in pages}, collections.Counter(), []
+    for p in distinct:
+        w = " ".join(p).split()
+        runs.update({tuple(w[k : k + least]) for k in range(len(w) - least + 1)})
+    for p in pages:
+        w, at, kept = " ".join(p).split(), 0, []
+        gone = {j for k in range(len(w) - least + 1) if len(distinct) >= few and 2 * runs[tuple(w[k : k + least])] > len(distinct) for j in range(k, k + least)}
+        for b in p:
+            n = len(b.split())
+            kept += [b] * (not gone.issuperset(range(at, at + n)))
+            at += n
+        text = " ".join(kept)
+        out.append(text if 2 * len(text.split()) >= len(w) else " ".join(p))
+    return out
+
+
+@pytest.mark.parametrize("size, least", [(250_000, 8), (2_000, 8), (60, 1)])
+def test_frames_of_articles_go_by_the_suffix_arrays_of_their_host(spark, monkeypatch, size, least):
+    monkeypatch.setattr(html_text, "ARTICLE_BYTES", size)
+    monkeypatch.setattr(html_text, "PER_STREAM", least)
+    r = random.Random(5)
+    hosts = {"a.example": framed_pages(r, 30), "b.example": framed_pages(r, 4), "": framed_pages(r, 12)}
+    copies = framed_pages(r, 3)[0]
+    hosts["c.example"] = [[f"{k} {copies[0]}", *copies[1:]] for k in range(12)] + framed_pages(r, 5)  # mostly one article, with other titles
+    own, notice = r.choices("abcdefgh", k=300), [" ".join(r.choices("ijkl", k=15)) for _ in range(4)]
+    for k in (9, 10, 11, 12):  # a notice in about half of the articles, by chance more in some streams
+        hosts[f"d{k}.example"] = [[" ".join([*r.sample(own, 40), str(i)]), *[notice[k - 9]] * (i < k)] for i in range(20)]
+    rows, want = [], {}
+    for h, pages in hosts.items():
+        for p, text in zip(pages, plain_articles(pages, 10, 10)):
+            want[len(rows)] = text
+            html = "<nav>menu</nav><article>" + "".join(f"<p>{b}</p>" for b in p) + "</article><footer>foot</footer>"
+            rows.append((len(rows), h and f"http://{h}/{len(rows)}", html))
+    got = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    cut = [i for i, (_, _, html) in enumerate(rows) if want[i] != chosen(html)[0]]
+    assert got == want and 20 < len(cut) < 90 and not any((rows[i][1] or "").startswith(("http://b.", "http://c.", "http://d9.", "http://d10.")) for i in cut)
