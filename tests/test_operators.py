@@ -236,6 +236,13 @@ def test_search(spark):
     assert search.agent_scores(spark.createDataFrame([(1.0, 2.0, 4.0)], "tf1 double, tf2 double, tf3 double")).first().score == 3.0
 
 
+def test_a_word_that_follows_itself_keeps_its_order(spark):
+    words = {"w": "the the end of the the the way".split(), "v": "so so".split()}
+    walk = spark.createDataFrame([(k, a, b) for k, w in words.items() for a, b in zip(w, w[1:])], "k string, src string, dst string")
+    for r in search.restore_order(walk, "k").collect():
+        assert sorted(zip(r.tokens, r.tokens[1:])) == sorted(zip(words[r.k], words[r.k][1:])), r.k
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     folder = str(tmp_path / "in")
