@@ -9,13 +9,13 @@ import struct
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitloom.consts import BITMAP_BYTES, M, MODULE_PORTS, TOTAL_BITS
-from bitloom.functions.hashing import murmur3, positions
+from bitloom.functions.arrow import ROWS, slices, udf
+from bitloom.functions.hashing import found
 from bitloom.operators.sketch import matrix
 
 _COOKIE, _ARRAY_MOST = 12346, 4096
@@ -66,7 +66,7 @@ def _udf(kind: str, f) -> object:
 
 def to_bytes(bm: Column | str) -> Column:
     """Packed sketch to portable bytes."""
-    return _udf("binary", lambda s: [to_bytes_of(np.flatnonzero(np.unpackbits(r, bitorder="little"))) for r in matrix(s)])(bm)
+    return udf("binary", lambda s: pa.array([to_bytes_of(np.flatnonzero(np.unpackbits(r, bitorder="little"))) for r in matrix(s)], pa.binary()))(bm)
 
 
 def from_bytes(data: Column | str) -> Column:
@@ -93,18 +93,14 @@ def bitmap_key(bm: Column | str) -> Column:
 
 
 def _keyed(n_keys: int):
-    """bitmap_key() of the tokens in a batch's last column, 256 rows at a time."""
+    """bitmap_key() of the tokens in a batch's last column, a slice of rows at a time."""
 
     def run(batches):
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):  # unpacked, 256 sketches are 8 MB
-                part = batch.slice(first, 256)
-                lists = part.column(n_keys)
-                parent, encoded = np.asarray(pc.list_parent_indices(lists)), lists.flatten().dictionary_encode()
-                known, index = np.asarray(encoded.indices.is_valid()), np.asarray(encoded.indices.drop_null())
-                found = positions(murmur3([t.encode() for t in encoded.dictionary.to_pylist()]))[index]
-                flags = np.zeros((part.num_rows, TOTAL_BITS), np.uint8)
-                flags[parent[known], found] = 1
+            for first, n in slices(batch.column(n_keys), ROWS):
+                part = batch.slice(first, n)
+                flags = np.zeros((n, TOTAL_BITS), np.uint8)
+                flags[found(part.column(n_keys))] = 1
                 keys = [f"h:{hashlib.sha1(to_bytes_of(np.flatnonzero(f))).hexdigest()}" for f in flags]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_keys], pa.array(keys, pa.string())], [*part.schema.names[:n_keys], "key"])
 

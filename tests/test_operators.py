@@ -236,6 +236,53 @@ def test_search(spark):
     assert search.agent_scores(spark.createDataFrame([(1.0, 2.0, 4.0)], "tf1 double, tf2 double, tf3 double")).first().score == 3.0
 
 
+def test_a_batch_is_sketched_in_slices(monkeypatch):
+    """Whatever a batch holds, a few MB are in memory; and no slice changes a sketch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = pa.array([f"word{i}" for i in range(600_000)])
+    lists = pa.ListArray.from_arrays(pa.array(range(0, 600_001, 300), pa.int32()), words)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b"] * 1000), lists], ["k", "tokens_"])
+    tracemalloc.start()
+    made = [r for out in sketch._combiner(1)([batch]) for r in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert len(made) == 2 and peak < 60, peak
+
+    monkeypatch.setattr("bitloom.functions.arrow.TOKENS", 1000)
+    own = dict(a=set(), b=set())
+    for r in batch.slice(1900).to_pylist():
+        own[r["k"]] |= bits_of(r["tokens_"])
+    for r in (r for out in sketch._combiner(1)([batch.slice(1900)]) for r in out.to_pylist()):
+        assert set(np.flatnonzero(np.unpackbits(np.frombuffer(r["bm"], np.uint8), bitorder="little")).tolist()) == own[r["k"]]
+
+
+def test_tokens_of_any_length_in_slices_of_a_column(spark, monkeypatch):
+    import pyarrow as pa
+
+    from bitloom.functions import arrow
+    from bitloom.functions import hashing as H
+
+    lists = pa.array([["x" * n for n in (0, 15, 16, 17, 33, 1000)], None, [], ["a", None, "b", "a"], ["é" * 9]], pa.list_(pa.string()))
+    monkeypatch.setattr(arrow, "TOKENS", 3)
+    for first in range(3):
+        part = lists.slice(first)
+        assert [i for at, n in arrow.slices(part) for i in range(at, at + n)] == list(range(len(part)))
+        got = [set() for _ in part]
+        for at, n in arrow.slices(part):
+            for row, bit in zip(*H.found(part.slice(at, n))):
+                got[at + row].add(int(bit))
+        assert got == [bits_of([t for t in v if t is not None]) if v else set() for v in part.to_pylist()]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lists.to_pylist())], "i int, w array<string>").coalesce(1)
+    for r in df.select("i", "w", H.token_bits("w").alias("b"), sketch.of_tokens("w").alias("bm"), H.hash64(F.get("w", F.lit(1))).alias("h")).collect():
+        want = None if r.w is None else sorted(bits_of([t for t in r.w if t is not None]))
+        assert r.b == want and (r.bm is None) == (want is None)
+        assert r.bm is None or np.flatnonzero(np.unpackbits(np.frombuffer(r.bm, np.uint8), bitorder="little")).tolist() == want
+        assert r.h == (None if r.w is None or len(r.w) < 2 or r.w[1] is None else int(murmur3([r.w[1].encode()]).view(np.int64)[0]))
+
+
 def test_a_word_that_follows_itself_keeps_its_order(spark):
     words = {"w": "the the end of the the the way".split(), "v": "so so".split()}
     walk = spark.createDataFrame([(k, a, b) for k, w in words.items() for a, b in zip(w, w[1:])], "k string, src string, dst string")
