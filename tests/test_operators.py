@@ -283,6 +283,40 @@ def test_tokens_of_any_length_in_slices_of_a_column(spark, monkeypatch):
         assert r.h == (None if r.w is None or len(r.w) < 2 or r.w[1] is None else int(murmur3([r.w[1].encode()]).view(np.int64)[0]))
 
 
+def test_ngrams_are_counted_by_parts_of_their_digests(spark, monkeypatch):
+    """Totals and distinct n-grams of each key against plain Python, however often a task lets go of what it holds."""
+    import pyarrow as pa
+
+    from bitloom.operators import grams
+
+    texts_ = [("a", "x y x y x y z"), ("b", "x y z"), (None, "x"), ("a", ""), ("a", None), ("b", " ".join(f"w{i % 7} v{i}" for i in range(50))), ("c", "...")]
+    want: dict = {}
+    for k, t in texts_:
+        w = (t or "").replace(".", "").split()
+        for n in (1, 2, 3):
+            for i in range(len(w) - n + 1):
+                want.setdefault((k, n), []).append(tuple(w[i : i + n]))
+    want = {k: (len(v), len(set(v))) for k, v in want.items()}
+    df = spark.createDataFrame(texts_, "k string, text string")
+    got = grams.counts(df, DEFAULT.tokens("text"), "k", range(1, 4)).collect()
+    assert {(r.k, r.n): (r.total, r.n_distinct) for r in got} == want and len(got) == len(want)
+    two = grams.counts(df, DEFAULT.tokens("text"), "k", range(2, 3)).collect()
+    assert {(r.k, r.n): (r.total, r.n_distinct) for r in two} == {k: v for k, v in want.items() if k[1] == 2}
+
+    monkeypatch.setattr(grams, "HELD", 20)
+    monkeypatch.setattr("bitloom.functions.arrow.TOKENS", 5)
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in texts_], pa.string()), pa.array([None if t is None else t.replace(".", "").split() for _, t in texts_], pa.list_(pa.string()))], ["key", "tokens"])
+    rows = pa.Table.from_batches(list(grams._digests(range(1, 4))([batch, batch])))
+    sums: dict = {}
+    for out in grams._counted(rows.sort_by([("key", "ascending"), ("n", "ascending"), ("part", "ascending")]).combine_chunks().to_batches(max_chunksize=3)):
+        for r in out.to_pylist():
+            size, n = sums.get((r["key"], r["n"]), (0, 0))
+            sums[r["key"], r["n"]] = (size + r["size"], n + r["n_distinct"])
+    assert len(rows) > 100 and sums == {k: (2 * size, n) for k, (size, n) in want.items()}
+    alike = np.array([(5, 1), (5, 2), (5, 1), (5, 2), (4, 1)] * 3, grams._DIGEST)
+    assert len(grams._distinct(np.array([0, 0, 0, 1, 1] * 3), alike)) == 4
+
+
 def test_a_word_that_follows_itself_keeps_its_order(spark):
     words = {"w": "the the end of the the the way".split(), "v": "so so".split()}
     walk = spark.createDataFrame([(k, a, b) for k, w in words.items() for a, b in zip(w, w[1:])], "k string, src string, dst string")
