@@ -180,3 +180,17 @@ def test_queries_equal_their_sql(spark, sf):
         assert cols == sorted(other.columns), name
         at = [other.columns.index(c) for c in cols]
         assert rows(tuple(r) for r in df.select(*cols).collect()) == rows(tuple(r[i] for i in at) for r in other.fetchall()), name
+
+
+def test_equal_sketches_are_grouped_by_digests(spark, tmp_path):
+    """Texts of the same words in any order and number; those without words, of which there may be several, are left out."""
+    from bitloom.plans import queries_more  # noqa: F401
+    from bitloom.plans.queries import QUERIES
+
+    rows = [(1, "a b"), (2, "B, a a"), (3, "a"), (4, None), (5, None), (6, "..."), (7, ""), (8, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["equal_sketches"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == [(1, 2), (3, 2)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.rindex("Initial Plan") :] if "Initial Plan" in plan else plan
+    assert plan.count("ArrowEvalPython") == 1 and "bm" not in plan[: plan.rindex("Exchange")]
